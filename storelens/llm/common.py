@@ -80,3 +80,22 @@ def slices(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = j
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """One table for each run of rows with equal integer ``keys``; a run may span batches."""
+    open_key, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = np.stack([batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in keys])
+        cuts = (np.flatnonzero((column[:, 1:] != column[:, :-1]).any(0)) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            key = tuple(column[:, lo])
+            if key != open_key and parts:
+                yield pa.Table.from_batches(parts).combine_chunks()
+                parts = []
+            open_key = key
+            parts.append(batch.slice(lo, hi - lo))
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks()

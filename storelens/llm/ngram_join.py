@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import slices, stored, text_buffer
+from storelens.llm.common import grouped, slices, stored, text_buffer
 from storelens.llm.components import components
 from storelens.llm.textvec import Words, mix
 
@@ -220,31 +220,13 @@ LINK_SCHEMA = "u bigint, v bigint, links bigint"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by unit; a unit's rows may span batches."""
-
-    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts).combine_chunks()
+    """Rows come sorted by unit."""
+    for t in grouped(batches, ("gid", "lo", "hi")):
         col = {n: t.column(n).to_numpy() for n in ("rid", "copies", "block")}
         data, offsets = text_buffer(t.column("text"))
         one = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
         u, v, n = links_in_unit(col["rid"], col["copies"], col["block"], data, offsets, one)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], ["u", "v", "links"])
-
-    open_key, parts = None, []
-    for batch in batches:
-        keys = np.stack([batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("gid", "lo", "hi")])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            if lo == hi:
-                continue
-            key = tuple(keys[:, lo])
-            if key != open_key and parts:
-                yield done(parts)
-                parts = []
-            open_key = key
-            parts.append(batch.slice(lo, hi - lo))
-    if parts:
-        yield done(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], ["u", "v", "links"])
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelens.llm import ngram_join, quality
+from storelens.llm import ngram_join, passages, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_cascade": op9_quality_cascade,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op6_repeated_passages": op6_repeated_passages,
 }
 
 SQL: dict[str, str] = {
     "op9_quality_cascade": quality.SQL,
     "op10_ngram_jaccard": ngram_join.SQL,
+    "op6_repeated_passages": passages.SQL,
 }

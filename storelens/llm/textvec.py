@@ -11,7 +11,7 @@ import numpy as np
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _WORD_BASE = (int(x) * 8 + 5 for x in _rng.integers(1, 2**60, 2, dtype=np.uint64))
+_BASE, WORD_BASE, OTHER_BASE = (int(x) * 8 + 5 for x in _rng.integers(1, 2**60, 3, dtype=np.uint64))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -45,7 +45,7 @@ class Words:
     """The words of some texts: byte ranges, the text each is in, and the first word of each text."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data, self.offsets = data, offsets
+        self.data, self.offsets, self._hashes = data, offsets, None
         inside = ~IS_SPACE[data]
         before = np.empty_like(inside)
         before[:1] = False
@@ -70,14 +70,16 @@ class Words:
         np.cumsum(_BYTE[self.data] * power[:n], out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
 
-    def runs(self, length: int, shorter: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def runs(self, length: int, shorter: bool = False, base: int = WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each run of ``length`` consecutive words within a text.
 
         With ``shorter``, a text of fewer words (but one) has one run of them all.
         """
-        hashes = self.hashes()
+        if self._hashes is None:
+            self._hashes = self.hashes()
+        hashes = self._hashes
         n = len(hashes)
-        power, inverse = powers(_WORD_BASE, n + 1)
+        power, inverse = powers(base, n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(hashes * power[:n], out=sums[1:])
         at = np.arange(n)
