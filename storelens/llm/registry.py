@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelens.llm import ngram_join, passages, quality
+from storelens.llm import decontam, mixing, ngram_join, passages, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,20 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_cascade": op9_quality_cascade,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op6_repeated_passages": op6_repeated_passages,
+    "op8_benchmark_leaks": op8_benchmark_leaks,
+    "op5_pivotal_mix": op5_pivotal_mix,
 }
 
 SQL: dict[str, str] = {
