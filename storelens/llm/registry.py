@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelens.llm import decontam, mixing, ngram_join, passages, quality
+from storelens.llm import decontam, mixing, ngram_join, packing, passages, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +33,17 @@ def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_cascade": op9_quality_cascade,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op6_repeated_passages": op6_repeated_passages,
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op5_pivotal_mix": op5_pivotal_mix,
+    "op7_token_ids": op7_token_ids,
 }
 
 SQL: dict[str, str] = {
