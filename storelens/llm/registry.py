@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelens.llm import decontam, mixing, ngram_join, packing, passages, quality
+from storelens.llm import decontam, mixing, ngram_join, packing, passages, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.archived(table(spark, sf_dir, "pages"))
+    return made.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_cascade": op9_quality_cascade,
     "op10_ngram_jaccard": op10_ngram_jaccard,
@@ -44,10 +49,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op5_pivotal_mix": op5_pivotal_mix,
     "op7_token_ids": op7_token_ids,
+    "op2_warc_chunks": op2_warc_chunks,
 }
 
 SQL: dict[str, str] = {
     "op9_quality_cascade": quality.SQL,
     "op10_ngram_jaccard": ngram_join.SQL,
     "op6_repeated_passages": passages.SQL,
+    "op2_warc_chunks": warc.SQL,
 }
