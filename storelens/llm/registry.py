@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelens.llm import decontam, mixing, ngram_join, packing, passages, quality, warc
+from storelens.llm import chat, decontam, mixing, ngram_join, packing, passages, quality, secrets, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,18 @@ def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
+def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_cascade": op9_quality_cascade,
     "op10_ngram_jaccard": op10_ngram_jaccard,
@@ -50,6 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pivotal_mix": op5_pivotal_mix,
     "op7_token_ids": op7_token_ids,
     "op2_warc_chunks": op2_warc_chunks,
+    "op3_url_verdicts": op3_url_verdicts,
+    "op4_secret_spans": op4_secret_spans,
+    "op1_chat_repair": op1_chat_repair,
 }
 
 SQL: dict[str, str] = {
