@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by minimum labels with pointer jumping."""
+"""Connected components of an edge table, by hooking to the smallest neighbour and contraction."""
 
 from __future__ import annotations
 
@@ -8,23 +8,41 @@ from pyspark.sql import functions as F
 from storelens.llm.common import stored
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def stars(edges: DataFrame) -> DataFrame:
+    """Fewer ``edges(u, v)`` with the same components: each u's neighbours all tied to their smallest.
+
+    A u's neighbours are gathered, so u must have a bounded number of them; v may have any number.
+    """
+    near = edges.groupBy("u").agg(F.collect_set("v").alias("vs"))
+    near = near.select(F.array_union(F.array("u"), "vs").alias("vs"))
+    return near.select(F.explode("vs").alias("u"), F.array_min("vs").alias("v")).where("u <> v").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges(u, v)``; the label is the component's smallest node.
 
-    Each round takes the smallest label among a node's neighbours and then follows that label's own
-    label, so the rounds grow with the logarithm of a component's diameter.  Rounds are written to
-    the shared folder.  The only thing sent to the driver is whether any label changed.
+    In a round each node hooks to the smallest of itself and its neighbours, then follows that node's
+    own hook; the edges are carried over to the hooks and those within one go.  Rounds are written to
+    the shared folder; the driver only learns whether edges are left.  The smallest node of a
+    component always hooks to itself, so it's what all hooks lead to.
     """
-    pairs = edges.where("u <> v")
-    both = stored(pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    now = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels")
-    for _ in range(max_rounds):
-        near = both.join(now.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        step = now.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
-        own = now.select(F.col("node").alias("next"), F.col("label").alias("jump"))
-        step = step.join(own, "next").select("node", F.least("next", "jump").alias("label"), (F.least("next", "jump") < F.col("label")).alias("changed"))
-        step = stored(step, "labels")
-        now = step.select("node", "label")
-        if step.where("changed").isEmpty():
-            return now
-    raise RuntimeError("components did not settle")
+    spark = edges.sparkSession
+    pair = (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    left = stored(edges.where("u <> v").select(*pair).distinct(), "edges")
+    rounds = []
+    while not left.isEmpty():
+        both = left.select("u", "v").union(left.select("v", "u"))
+        hook = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("hook")), "hooks")
+        jump = hook.select(F.col("node").alias("hook"), F.col("hook").alias("jump"))
+        hook = stored(hook.join(jump, "hook").select("node", F.col("jump").alias("hook")), "hooks")
+        rounds.append(hook)
+        moved = left.join(hook.withColumnRenamed("node", "u"), "u").select(F.col("hook").alias("u"), "v")
+        moved = moved.join(hook.withColumnRenamed("node", "v"), "v").select("u", F.col("hook").alias("v"))
+        left = stored(moved.where("u <> v").select(*pair).distinct(), "edges")
+    if not rounds:
+        return spark.createDataFrame([], "node bigint, label bigint")
+    labels = rounds[-1].withColumnRenamed("hook", "label")
+    for hook in reversed(rounds[:-1]):
+        end = labels.select(F.col("node").alias("hook"), "label")
+        labels = hook.join(end, "hook", "left").select("node", F.coalesce("label", "hook").alias("label"))
+    return stored(labels, "labels")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm.common import grouped, slices, stored, text_buffer
-from storelens.llm.components import components
+from storelens.llm.components import components, stars
 from storelens.llm.textvec import Words, mix
 
 SHINGLE = 5
@@ -248,7 +248,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = stored(banded.select("rid", F.explode("bands").alias("band")), "bands")
     full = banded.groupBy("band").agg(F.min("rid").alias("v"), F.max("rid").alias("top")).where("v < top").select("band", "v")
     ties = banded.join(full, "band").where("rid <> v").select(F.col("rid").alias("u"), "v").distinct()
-    groups = components(ties).select(F.col("node").alias("rid"), F.col("label").alias("gid"))
+    groups = components(stars(ties)).select(F.col("node").alias("rid"), F.col("label").alias("gid"))
 
     # units: pairs of blocks of a group
     members = groups.join(entries.select("rid", F.least("copies", F.lit(2**40)).alias("copies")), "rid")
@@ -260,7 +260,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     units = units.repartition("gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi")
     found = stored(units.mapInArrow(_units, LINK_SCHEMA), "links")
 
-    classes = components(found.select("u", "v")).select(F.col("node").alias("rid"), F.col("label").alias("class_id"))
+    classes = components(stars(found.select("u", "v"))).select(F.col("node").alias("rid"), F.col("label").alias("class_id"))
     links = found.groupBy(F.col("u").alias("rid")).agg(F.sum("links").alias("links"))
     known_entries = entries.join(classes, "rid", "left").join(links, "rid", "left")
     known_entries = known_entries.select("set_key", F.coalesce("class_id", "rid").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
