@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.paths import basename, extension_of, is_lfs_candidate, shell_quote, short_ref_name
 from storelens.plans.graph import mask_closure, pair_closure, reverse_closure
+from storelens.storage import materialized
 
 
 def growth_candidates(commits: DataFrame, files: DataFrame) -> DataFrame:
@@ -19,6 +20,38 @@ def growth_candidates(commits: DataFrame, files: DataFrame) -> DataFrame:
     return own.join(before, ["parent", "path", "blob"], "left_anti").select("commit", "ts", "blob")
 
 
+def tree_growth(pairs: DataFrame, entries: DataFrame, max_depth: int = 512) -> DataFrame:
+    """(blob, first): the first struct(ts, commit) that brings each blob, from trees compared in pairs.
+
+    ``pairs(a, b, first)`` has each commit's root tree and its first parent's (null without one).
+    Equal subtrees are never entered, and a pair of trees is compared once for all commits that have
+    it, as what it brings is the same.
+    """
+    out = None
+    old = entries.select(F.col("parent").alias("b"), "name", F.col("oid").alias("old_oid"), F.col("kind").alias("old_kind"))
+    level = pairs.where(~F.col("a").eqNullSafe(F.col("b"))).groupBy("a", "b").agg(F.min("first").alias("first"))
+    for _ in range(max_depth):
+        own = level.join(entries, level["a"] == entries["parent"]).select("b", "name", "oid", "kind", "first")
+        both = own.join(old, ["b", "name"], "left").where(F.col("old_oid").isNull() | (F.col("oid") != F.col("old_oid")))
+        both = materialized(both, "growth")
+        found = both.where("kind NOT IN ('tree', 'submodule')").groupBy(F.col("oid").alias("blob")).agg(F.min("first").alias("first"))
+        out = found if out is None else out.union(found)
+        below = F.when(F.col("old_kind") == "tree", F.col("old_oid"))
+        level = both.where("kind = 'tree'").groupBy(F.col("oid").alias("a"), below.alias("b")).agg(F.min("first").alias("first"))
+        if level.isEmpty():
+            return out.groupBy("blob").agg(F.min("first").alias("first"))
+    raise RuntimeError(f"deeper than {max_depth} levels")
+
+
+def months_of(first: DataFrame, commits: DataFrame, sizes: DataFrame, month, last: int | None = None) -> DataFrame:
+    """(month, introduced_bytes, cumulative_bytes) for all months with a commit, of ``first(blob, ts)``."""
+    brought = first.join(sizes, "blob").groupBy(month(F.col("ts")).alias("month")).agg(F.sum("size").alias("introduced_bytes"))
+    every = commits.select(month(F.col("ts")).alias("month")).distinct()
+    out = every.join(brought, "month", "left").select("month", F.coalesce("introduced_bytes", F.lit(0)).cast("bigint").alias("introduced_bytes"))
+    out = out.withColumn("cumulative_bytes", F.sum("introduced_bytes").over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)))
+    return out.orderBy(F.desc("month")).limit(last) if last else out
+
+
 def growth_by_month(commits: DataFrame, files: DataFrame, sizes: DataFrame, month, last: int | None = None) -> DataFrame:
     """(month, introduced_bytes, cumulative_bytes) for all months with a commit.
 
@@ -26,11 +59,7 @@ def growth_by_month(commits: DataFrame, files: DataFrame, sizes: DataFrame, mont
     a time column to a month; ``last`` keeps the last months without changing totals.
     """
     first = growth_candidates(commits, files).groupBy("blob").agg(F.min(F.struct("ts", "commit")).alias("f"))
-    brought = first.join(sizes, "blob").groupBy(month(F.col("f.ts")).alias("month")).agg(F.sum("size").alias("introduced_bytes"))
-    every = commits.select(month(F.col("ts")).alias("month")).distinct()
-    out = every.join(brought, "month", "left").select("month", F.coalesce("introduced_bytes", F.lit(0)).cast("bigint").alias("introduced_bytes"))
-    out = out.withColumn("cumulative_bytes", F.sum("introduced_bytes").over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)))
-    return out.orderBy(F.desc("month")).limit(last) if last else out
+    return months_of(first.select("blob", F.col("f.ts").alias("ts")), commits, sizes, month, last)
 
 
 def introduced_deleted(presence: DataFrame, parents: DataFrame, at_head: DataFrame) -> DataFrame:

@@ -73,13 +73,14 @@ def mask_closure(tips: DataFrame, edges: DataFrame, max_rounds: int = 4096) -> D
 
 
 def flatten_hierarchy(roots: DataFrame, entries: DataFrame, max_depth: int = 512) -> DataFrame:
-    """(root, path, oid, kind) of all leaves below ``roots(root)``.
+    """(root, path, oid, kind) of all leaves below ``roots(root)``; a column ``parent`` names another folder to start at.
 
     ``entries(parent, name, oid, kind)`` has the members of each folder; those of kind ``tree`` are
     folders themselves.  Distinct (folder, prefix) pairs are walked level by level, so a folder under
     two names gives its leaves under both.
     """
-    level = roots.select("root", F.col("root").alias("parent"), F.lit("").alias("prefix")).distinct()
+    start = "parent" if "parent" in roots.columns else "root"
+    level = roots.select("root", F.col(start).alias("parent"), F.lit("").alias("prefix")).distinct()
     leaves = None
     for _ in range(max_depth):
         members = level.join(entries, "parent").select("root", F.concat("prefix", "name").alias("path"), "oid", "kind")
