@@ -100,7 +100,7 @@ RULES = (
     Rule("too_short", lambda f: f("n_words") < 10),
     Rule("repeats", lambda f: 100 * f("n_repeat_words") > 20 * f("n_words")),
     Rule("word_length", lambda f: f("word_chars") > 20 * f("n_words")),
-    Rule("symbols", lambda f: f("n_symbols") > f("n_words")),
+    Rule("symbols", lambda f: 10 * f("n_symbols") > 3 * f("n_words")),
     Rule("dup_lines", lambda f: 2 * f("n_dup_lines") > f("n_lines")),
 )
 BASE_RULES = ("too_short", "repeats")
@@ -183,6 +183,6 @@ f AS (
   FROM d LEFT JOIN c USING (k))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR word_chars > 20 * n_words
-            OR n_symbols > n_words OR 2 * n_dup_lines > n_lines) AS kept
+            OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines) AS kept
 FROM f
 """
