@@ -26,6 +26,7 @@ BLOCK, LEAST_BLOCK, LANES = 4096, 256, 2048
 _GUESSES = 1024  # slots of a block's guess tables; a slot has the guess and, in its low two bits, how sure it is
 _ROWS0, _ROWS1 = 17 + 512, 64 + 256  # distributions of a block: order 0, order 1
 _TOTAL, _FLOOR, _RATE = 14, 20, 4  # distributions sum to 2**14; no value falls under about (_FLOOR - 2**_RATE)
+_ROW = "V32"  # a distribution as one item, which NumPy scatters faster than a row
 _k = np.arange(16)
 _FLAT = ((_k + 1) << (_TOTAL - 4)).astype(np.int16)
 _GOAL = np.where(_k[None, :] < _k[:, None], (_k + 1) * _FLOOR, (1 << _TOTAL) - (15 - _k) * _FLOOR).astype(np.int16)  # by value
@@ -82,20 +83,19 @@ class _Lanes:
         state[1] = np.where(bit, low, mid + np.uint64(1))
         return bit
 
-    def piece(self, state: list, upper: np.ndarray, known: np.ndarray | None) -> np.ndarray:
-        """Code one value below 16 a lane; ``upper`` has the cumulated distributions."""
+    def find(self, state: list, upper: np.ndarray) -> np.ndarray:
+        """The value below 16 that comes next; ``upper`` has the cumulated distributions."""
         _, low, high, code = state
+        at = ((code - low) // ((high - low) >> np.uint64(_TOTAL))).astype(upper.dtype)
+        below = (upper <= at[:, None]).view(np.uint64)  # 16 truth bytes; their sum is the value
+        return np.minimum(((below[:, 0] + below[:, 1]) * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64), 15)
+
+    def piece(self, state: list, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Narrow to a value that takes begin to end of the distribution's total."""
+        _, low, high, _ = state
         unit = (high - low) >> np.uint64(_TOTAL)
-        if self.decoding:
-            at = ((code - low) // unit).astype(np.int32)
-            value = np.minimum((upper <= at[:, None]).sum(1), 15)
-        else:
-            value = known
-        flat, spot = upper.ravel(), np.arange(len(low)) * 16 + value
-        begin = np.where(value > 0, flat[spot - 1], 0).astype(np.uint64)
-        state[2] = np.where(value == 15, high, low + unit * flat[spot].astype(np.uint64) - np.uint64(1))
-        state[1] = low + unit * begin
-        return value
+        state[2] = np.where(value == 15, high, low + unit * end.astype(np.uint64) - np.uint64(1))
+        state[1] = low + unit * begin.astype(np.uint64)
 
     def shift(self, state: list) -> None:
         """Move settled words out (or in); one decision may come between."""
@@ -142,6 +142,7 @@ def _lockstep(lengths: np.ndarray, width: int, ids: np.ndarray | None, payloads:
     flags = np.full(n * 128, 1 << 15, np.uint16)
     order0 = np.tile(_FLAT, (n * _ROWS0, 1))
     order1 = np.tile(_FLAT, (n * _ROWS1, 1))
+    items0, items1 = order0.view(_ROW).ravel(), order1.view(_ROW).ravel()
     trust = np.full(n * 2, 1 << 14, np.int32)  # in order 0, of 2**15, for the two mixed pieces
     last1, last2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
     every = np.arange(n)
@@ -153,15 +154,15 @@ def _lockstep(lengths: np.ndarray, width: int, ids: np.ndarray | None, payloads:
         flags[slot] = (value + (np.where(bit, 65535, 0) - value >> 4)).astype(np.uint16)
         return bit
 
-    def width_of(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
-        flat, spot = rows.ravel(), np.arange(len(value)) * 16 + value
-        return flat[spot] - np.where(value > 0, flat[spot - 1], 0)
+    def ends(rows: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, spot = rows.ravel(), np.arange(0, 16 * len(value), 16) + value
+        return np.where(value > 0, flat[spot - 1], 0).astype(np.int32), flat[spot].astype(np.int32)
 
     def learn(table: np.ndarray, at: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> None:
         goal = goal - rows
         goal >>= _RATE
         goal += rows
-        table[at] = goal
+        table[at] = goal.view(_ROW).ravel()
 
     for t in range(steps):
         active = int(np.searchsorted(-lengths, -t, "left"))
@@ -197,25 +198,29 @@ def _lockstep(lengths: np.ndarray, width: int, ids: np.ndarray | None, payloads:
                 if j < 2:
                     at0 = rest * _ROWS0 + j + got
                     at1 = rest * _ROWS1 + (context & np.uint32(63) if j == 0 else np.uint32(64) + ((context + got * np.uint32(0x27D4EB2F)) & np.uint32(255)))
-                    rows0, rows1 = order0[at0], order1[at1]
+                    rows0, rows1 = np.take(order0, at0, 0), np.take(order1, at1, 0)
                     pick = rest * 2 + j
                     w = trust[pick]
-                    share = (1 + (w * 14 >> 15))[:, None]
-                    upper = (rows0 * share + rows1 * (16 - share)) >> 4
-                    piece = lanes.piece(state, upper, piece)
+                    share = 1 + (w * 14 >> 15)
+                    if decoding:
+                        wide = share[:, None]
+                        piece = lanes.find(state, (rows0 * wide + rows1 * (16 - wide)) >> 4)
+                    (begin0, end0), (begin1, end1) = ends(rows0, piece), ends(rows1, piece)
+                    lanes.piece(state, piece, (begin0 * share + begin1 * (16 - share)) >> 4, (end0 * share + end1 * (16 - share)) >> 4)
                     lanes.shift(state)
-                    better = width_of(rows0, piece) >= width_of(rows1, piece)
-                    trust[pick] = w + (np.where(better, 1 << 15, 0) - w >> 5)
-                    goal = _GOAL[piece]
-                    learn(order0, at0, rows0, goal)
-                    learn(order1, at1, rows1, goal)
+                    trust[pick] = w + (np.where(end0 - begin0 >= end1 - begin1, 1 << 15, 0) - w >> 5)
+                    goal = np.take(_GOAL, piece, 0)
+                    learn(items0, at0, rows0, goal)
+                    learn(items1, at1, rows1, goal)
                 else:
                     row = got & np.uint32(255) if j == 2 else np.uint32(256) + ((got * np.uint32(0x9E3779B1)) >> np.uint32(24))
                     at0 = rest * _ROWS0 + (17 + row)
-                    rows0 = order0[at0]
-                    piece = lanes.piece(state, rows0, piece)
+                    rows0 = np.take(order0, at0, 0)
+                    if decoding:
+                        piece = lanes.find(state, rows0)
+                    lanes.piece(state, piece, *ends(rows0, piece))
                     lanes.shift(state)
-                    learn(order0, at0, rows0, _GOAL[piece])
+                    learn(items0, at0, rows0, np.take(_GOAL, piece, 0))
                 got = (got << np.uint32(4)) | piece.astype(np.uint32)
             lanes.close(state)
             value[rest] = got

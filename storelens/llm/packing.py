@@ -24,7 +24,7 @@ from storelens.llm import idcoder
 from storelens.llm.common import slices, stored, text_buffer
 
 SEGMENT_IDS = 4 << 20
-CACHED_PIECES, CACHED_LENGTH = 400_000, 48
+CACHED_PIECES, CACHED_LENGTH = 900_000, 48
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -62,24 +62,21 @@ class PieceTokenizer:
         new = list({p for pieces in cut for p in pieces[1:]} - seen.keys())
         odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
         plain = list(set(new).difference(odd))
-        made = dict(zip(plain, self._raw([" " + p for p in plain]), strict=True)) | dict.fromkeys(odd)
-        for p in plain:
-            if len(p) <= CACHED_LENGTH:
-                seen[p] = made[p]
-        for p in odd:
-            if len(p) <= CACHED_LENGTH:
-                seen[p] = None
-        get = (seen | made).__getitem__ if len(made) > len(seen) else (lambda p: seen[p] if p in seen else made[p])
+        seen.update(zip(plain, self._raw([" " + p for p in plain]), strict=True))
+        seen.update(dict.fromkeys(odd))
         heads = self._raw([p[0] for p in cut])
         out: list[bytes | None] = []
         whole = []
         for i, (head, pieces) in enumerate(zip(heads, cut, strict=True)):
-            ids = list(map(get, pieces[1:]))
+            ids = list(map(seen.__getitem__, pieces[1:]))
             if None in ids or (pieces[0] and pieces[0][-1].isspace()):
                 whole.append(i)
                 out.append(None)
             else:
                 out.append(head + b"".join(ids))
+        for p in new:
+            if len(p) > CACHED_LENGTH:
+                del seen[p]
         for i, raw in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = raw
         return [np.frombuffer(raw, self.dtype) for raw in out]
