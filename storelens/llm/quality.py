@@ -24,11 +24,6 @@ SAMPLE_ROWS, SAMPLE_FRACTION = 500, 0.2
 SYMBOLS = "#*$%&|<>"
 
 
-def n_words(text: Column) -> Column:
-    """Words of a text; null has none."""
-    return F.size(words_of(text)).cast("long")
-
-
 def word_chars(text: Column) -> Column:
     """Code points in words."""
     return F.length(F.translate(F.coalesce(text, F.lit("")), SPACES, "")).cast("long")
@@ -48,8 +43,8 @@ def n_dup_lines(text: Column) -> Column:
     return let(lines_of(text), lambda lines: F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def n_repeat_words(text: Column) -> Column:
-    """Words covered by a window of five words that the text holds twice or more.
+def n_repeat_words(words: Column) -> Column:
+    """Of the words of a text, those covered by a window of five that it holds twice or more.
 
     Windows are compared by a 64-bit hash within one text.  A text whose windows all differ, as most
     do, ends after one pass; else the windows are sorted by hash and the covered words counted.
@@ -74,16 +69,17 @@ def n_repeat_words(text: Column) -> Column:
             lambda a: a["n"],
         )
 
-    return let(let(words_of(text), hashed), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(repeated(h))).cast("long")
+    return let(hashed(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(repeated(h))).cast("long")
 
 
-FEATURES: dict[str, Callable[[Column], Column]] = {
-    "n_words": n_words,
-    "word_chars": word_chars,
-    "n_symbols": n_symbols,
-    "n_lines": lambda text: F.size(lines_of(text)).cast("long"),
-    "n_dup_lines": n_dup_lines,
-    "n_repeat_words": n_repeat_words,
+#: Each feature from the text and its words; the words are split once for all features.
+FEATURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, words: F.size(words).cast("long"),
+    "word_chars": lambda text, words: word_chars(text),
+    "n_symbols": lambda text, words: n_symbols(text),
+    "n_lines": lambda text, words: F.size(lines_of(text)).cast("long"),
+    "n_dup_lines": lambda text, words: n_dup_lines(text),
+    "n_repeat_words": lambda text, words: n_repeat_words(words),
 }
 
 
@@ -106,8 +102,9 @@ RULES = (
 BASE_RULES = ("too_short", "repeats")
 
 
-def _on(text: Column) -> Callable[[str], Column]:
-    return lambda name: FEATURES[name](text)
+def _on(text: Column, body: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """``body`` of a function from a feature's name to its column."""
+    return let(words_of(text), lambda words: body(lambda name: FEATURES[name](text, words)))
 
 
 def ordered(docs: DataFrame, text: Column, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -128,7 +125,7 @@ def ordered(docs: DataFrame, text: Column, rules: Sequence[Rule] = RULES, sample
     idle, _ = run(F.length(F.coalesce(text, F.lit(""))) < 0)
     score = {}
     for rule in rules:
-        took, rejected = run(rule.reject(_on(text)))
+        took, rejected = run(_on(text, rule.reject))
         score[rule.name] = rejected / max(took - idle, 1e-3)
     return sorted(rules, key=lambda r: -score[r.name])
 
@@ -148,7 +145,8 @@ def cascade(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RUL
     empty table gives an empty table; other columns, of any name, pass through untouched.
     """
     text = F.col(f"`{text_col}`")
-    return docs.where(first_failed(ordered(docs, text, rules, sample_rows), _on(text)).isNull())
+    order = ordered(docs, text, rules, sample_rows)
+    return docs.where(_on(text, lambda feature: first_failed(order, feature)).isNull())
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -159,7 +157,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     """
     text = F.col(f"`{text_col}`")
     order = ordered(docs, text, rules, sample_rows)
-    made = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *(f(text).alias(name) for name, f in FEATURES.items()))
+    cut = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), words_of(text).alias("words"))
+    made = cut.select("doc_id", *(f(F.col("text"), F.col("words")).alias(name) for name, f in FEATURES.items()))
     failed = first_failed([r for r in order if r.name in BASE_RULES], F.col)
     rest = first_failed([r for r in order if r.name not in BASE_RULES], F.col)
     return made.withColumn("base_failed", failed.isNotNull()).withColumn("kept", ~F.col("base_failed") & rest.isNull())
