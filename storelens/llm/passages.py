@@ -199,7 +199,8 @@ def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
 
     placed = scan.select("tid", "hid", "anchors").join(texts.select("tid", "hid"), ["tid", "hid"], "left_semi")
     placed = stored(placed.select("tid", "hid", F.explode("anchors").alias("anchor")), "anchors")
-    twice = placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written before it's joined: a join of two shuffles can split a hot key, one with an aggregate can't
+    twice = stored(placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
     wanted = placed.join(twice, "anchor").groupBy("tid", "hid").agg(F.collect_set("anchor").alias("anchors"))
     chosen = wanted.join(rows.select("hid", "text"), "hid").select("tid", "text", "anchors")
     chosen = stored(chosen.mapInArrow(_right_text, chosen.schema), "chosen")
@@ -207,6 +208,7 @@ def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     windows = stored(chosen.mapInArrow(_windows, WINDOW_SCHEMA), "windows")
     place = F.xxhash64("tid", "i")
     confirmed = windows.groupBy("h", "g").agg(F.min("tid").alias("shard"), F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("h", "g", "shard")
+    confirmed = stored(confirmed, "confirmed")
     held = stored(windows.join(confirmed, ["h", "g"]).select("shard", "tid", "i"), "held")
 
     patterns = held.where("shard = tid").groupBy("shard").agg(F.sort_array(F.collect_set("i")).alias("at"))
