@@ -420,11 +420,8 @@ def nth_ancestor(spark, sf_dir):
 
 @query("SELECT o_orderkey AS node, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS peeled FROM orders")
 def peel_chain(spark, sf_dir):
-    """The end of each chain, within 32 steps and more: jumps double until none moves."""
-    links = commits(spark, sf_dir).select("node", F.coalesce("parent", "node").alias("up"))
-    for _ in range(6):
-        links = links.join(links.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up"))
-    return links.select("node", F.col("up").alias("peeled"))
+    """The end of each chain: jumps double until none moves."""
+    return graph.chain_end(commits(spark, sf_dir)).select("node", F.col("end").alias("peeled"))
 
 
 # --- packs ---------------------------------------------------------------------------------------

@@ -110,6 +110,24 @@ def chain_depth(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("the chains have a cycle")
 
 
+def chain_end(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(node, end) of ``links(node, parent)``: the node without a parent that each chain leads to.
+
+    Pointer doubling, as in ``chain_depth``; a pointer goes as soon as the end is known, so no round
+    joins many nodes with one end.
+    """
+    now = links.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("node")).alias("end"))
+    now = materialized(now, "chain")
+    for _ in range(max_rounds):
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("end").alias("last"), F.lit(True).alias("known"))
+        last = F.when(F.col("known"), F.col("last")).otherwise(F.col("up"))
+        moved = now.where("up IS NOT NULL").join(above, "up", "left").select("node", F.col("next").alias("up"), last.alias("end"))
+        now = materialized(now.where("up IS NULL").union(moved), "chain")
+        if now.where("up IS NOT NULL").isEmpty():
+            return now.select("node", "end")
+    raise RuntimeError("the chains have a cycle")
+
+
 def nth_ancestor(links: DataFrame, n: int) -> DataFrame:
     """(node, ancestor) after n steps of ``links(node, parent)``; null where the chain is shorter."""
     out = links.select("node", F.col("node").alias("ancestor"))
