@@ -786,6 +786,73 @@ def evidence_cap(spark, sf_dir):
     return scoring.change_evidence(_change_side(spark, sf_dir, 3), _change_side(spark, sf_dir, 4)).select("dimension", "path")
 
 
+# a whole change: both sides hold every document under its own path; on the new side most texts are edited, some paths moved
+_EDITS = ('import { B } from "./components/B";\nif (x) { verify(sha256(y)) }', 'fetch("https://api.example.org/v1")\nfor (;;) {}', 'import x from "../lib/x"\nwhile (a) { sort(b) }')
+_SQL_EDIT = "create table a (b int references c);\nwith x as (select 1) select * from t join u union all select 2"
+_TF_EDIT = 'resource "a" "b" {\n  count = 2\n  x = y ? 1 : 2\n}'
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
+
+
+def _whole_change(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = code_docs(spark, sf_dir)
+    path, number = F.col("path"), F.col("doc_id")
+    edit = F.element_at(F.array(*map(F.lit, _EDITS)), (number % len(_EDITS) + 1).cast("int"))
+    edit = F.when(path.endswith(".sql"), _SQL_EDIT).when(path.endswith(".tf"), _TF_EDIT).otherwise(edit)
+    moved = F.when(number % 7 == 0, F.concat(F.lit("m/"), path)).otherwise(path)
+    new = docs.select(moved.alias("path"), F.when(number % 4 == 0, F.col("text")).otherwise(F.concat_ws("\n", edit, "text")).alias("text"))
+    return docs.select("path", "text"), new
+
+
+def _terraform_sql(texts: str) -> str:
+    """CTEs from ``texts(k, t)`` to ``tfn(k, counts...)``; a line's comment state is that after the last line that fixes it."""
+    opens = lambda x: f"(instr({x}, '/*') > 0 AND instr(substr({x}, instr({x}, '/*') + 2), '*/') = 0)"
+    word = lambda w: f"""regexp_matches(x, '^{w}($|[ \\t\\n\\x0b\\f\\r"{{])')"""
+    tests = [word(w) for w in constructs.BLOCKS.values()] + ["regexp_matches(x, '^(for_each|count)[ \\t]*=')", "regexp_matches(x, '^depends_on[ \\t]*=')", "contains(x, ' ? ')"]
+    counts = ", ".join(f"count(*) FILTER (live AND {test}) AS {name}" for name, test in zip(constructs.TERRAFORM, tests, strict=True))
+    return f"""tl AS (SELECT k, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM {texts}),
+tg AS (SELECT *, {opens('line')} AS s0, instr(line, '*/') = 0 OR {opens("substr(line, instr(line, '*/') + 2)")} AS s1 FROM tl),
+tb AS (SELECT *, coalesce(last_value(CASE WHEN s0 = s1 THEN s0 END IGNORE NULLS) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS was_open FROM tg),
+tv AS (SELECT k, CASE WHEN NOT was_open THEN line WHEN instr(line, '*/') > 0 THEN substr(line, instr(line, '*/') + 2) ELSE '' END AS seen FROM tb),
+tw AS (SELECT k, trim(CASE WHEN instr(seen, '/*') > 0 THEN left(seen, instr(seen, '/*') - 1) ELSE seen END, ' ' || chr(9) || chr(13)) AS x FROM tv),
+tfn AS (SELECT k, {counts} FROM (SELECT *, NOT starts_with(x, '#') AND NOT starts_with(x, '//') AS live FROM tw) GROUP BY k)"""
+
+
+_EDIT_SQL = f"CASE WHEN ends_with(path, '.sql') THEN {_quoted(_SQL_EDIT)} WHEN ends_with(path, '.tf') THEN {_quoted(_TF_EDIT)} ELSE [{', '.join(map(_quoted, _EDITS))}][(doc_id % {len(_EDITS)})::INT + 1] END"
+# from the changed files on as above
+_WHOLE_CHANGE_SQL = f"""WITH {CODE_SQL}, a AS (SELECT path, text FROM code),
+b AS (SELECT CASE WHEN doc_id % 7 = 0 THEN concat('m/', path) ELSE path END AS path, CASE WHEN doc_id % 4 = 0 THEN text ELSE concat_ws(chr(10), {_EDIT_SQL}, text) END AS text FROM code),
+{_CHANGE_SQL.partition(chr(10))[2]},
+dx AS (SELECT concat(side, path) AS k, path, side, t FROM (SELECT path, 'o' AS side, coalesce(old_text, '') AS t FROM ch WHERE scored AND dom UNION ALL SELECT path, 'n', coalesce(new_text, '') FROM ch WHERE scored AND dom)),
+tx AS (SELECT k, t FROM dx WHERE ends_with(path, '.tf')), {_terraform_sql('tx')},
+dtok AS (SELECT k, unnest(w) AS t, unnest(range(len(w))) AS i FROM (SELECT k, list_filter(regexp_split_to_array(translate(regexp_replace(t, '--[^\\n]*|/\\*[\\s\\S]*?(\\*/|\\z)|''(''''|[^''])*''?|"(""|[^"])*"?', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\n(){{}};,.\\[\\]]+'), lambda x: x <> '') AS w FROM dx WHERE ends_with(path, '.sql'))),
+dwin AS (SELECT *, lag(t, 1) OVER o = 'create' AS c1, coalesce(lag(t, 1) OVER o = 'create', false) OR coalesce(lag(t, 2) OVER o = 'create', false) OR coalesce(lag(t, 3) OVER o = 'create', false) OR coalesce(lag(t, 4) OVER o = 'create', false) AS ddl FROM dtok WINDOW o AS (PARTITION BY k ORDER BY i)),
+dcnt AS (SELECT k, {_COUNTS_SQL} FROM dwin GROUP BY k),
+dall AS (SELECT path, side, {", ".join(f"coalesce({c}, 0) AS {c}" for c in constructs.POINTS)} FROM dx LEFT JOIN tfn USING (k) LEFT JOIN dcnt USING (k)),
+gr AS (SELECT w.path, {", ".join(f"greatest(w.{c} - o.{c}, 0) AS {c}" for c in constructs.POINTS)} FROM dall w JOIN dall o ON w.path = o.path AND w.side = 'n' AND o.side = 'o'),
+dp AS (SELECT path, {" + ".join(f"{w} * {c}" for c, w in constructs.POINTS.items())} AS points FROM gr)"""
+
+
+@query(f"{_WHOLE_CHANGE_SQL} SELECT {', '.join(_SIGNALS)} FROM sg, ct")
+def pr_signals_whole(spark, sf_dir):
+    return scoring.change_score(*_whole_change(spark, sf_dir)).select(*_SIGNALS)
+
+
+@query(
+    f"""{_WHOLE_CHANGE_SQL}, s AS (SELECT (added_lines + removed_lines + 4 * added_branches + 3 * (files - excluded_files))::BIGINT AS work_points, ({_WITHOUT_DOMAIN})::BIGINT AS plain_points, (SELECT coalesce(sum(points), 0) FROM dp)::BIGINT AS domain_points FROM sg, ct)
+SELECT work_points, domain_points, plain_points + domain_points AS complexity_points, work_points + plain_points + domain_points AS total_points FROM s"""
+)
+def pr_score_whole(spark, sf_dir):
+    return scoring.change_score(*_whole_change(spark, sf_dir)).select("work_points", "domain_points", "complexity_points", "total_points")
+
+
+@query(
+    _WHOLE_CHANGE_SQL
+    + SQL["evidence_cap"][len(_CHANGE_SQL) :].replace(" GROUP BY path)\nSELECT", " GROUP BY path UNION ALL SELECT CASE WHEN ends_with(path, '.tf') THEN 'terraform' ELSE 'sql' END, path, '' FROM dp WHERE points > 0)\nSELECT").replace(" ORDER BY path, dimension, line LIMIT 64", "")
+)
+def evidence_whole(spark, sf_dir):
+    return scoring.change_evidence(*_whole_change(spark, sf_dir), limit=None).select("dimension", "path")
+
+
 _RECORDS = (
     ("pr_id\tmerged_at\tstage\tbase\tto", None), ("1\t2024\tpre\tmain\tdev", ""), ("# note", None), ("", None), ("2\t2024\tmid\tmain\tdev", "stage must be pre or post"), ("3\t2024\tpost\tmain", "needs five tab-separated columns"),
     ("4\t2024\tpost\tmain\tdev\tx", "invalid record"), ("\t2024\tpost\tmain\tdev", "invalid record"), (" 5\t2024\tpost\tmain\tdev\r", ""),
