@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Base spans come from three patterns.  Beyond them, every run of at least ``MIN_RUN`` encoding
-characters with a letter and a digit is a candidate.  Its encoding is the smallest alphabet that
+characters with a letter and a digit is a candidate; one that fits no alphabet, as in ``KEY=value``
+or ``dir/x-y``, is cut into its maximal pieces that do (these may overlap).  Its encoding is the smallest alphabet that
 fits.  Three tests ask whether it's random in that alphabet: chi-squared uniformity, runs about the
 middle of the alphabet, and lag-1 serial correlation; a candidate that fails any at ``GATE`` goes.
 A fourth number asks the opposite: the chance that ordinary text, whose characters coincide with
@@ -41,6 +42,9 @@ _IS_CODE[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALPHABETS = [_DIGITS + "abcdef", _DIGITS + "ABCDEF", _UPPER + "234567", _UPPER + _LOWER + _DIGITS, _UPPER + _LOWER + _DIGITS + "+/", _UPPER + _LOWER + _DIGITS + "-_"]
 
+#: The two largest alphabets, which hold the others
+_FITS = [re.compile(rb"[A-Za-z0-9+/]+"), re.compile(rb"[A-Za-z0-9_-]+")]
+
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of member bytes within a text, of at least ``least`` bytes."""
@@ -123,6 +127,22 @@ def battery(token: str) -> tuple[float, bool] | None:
     return None
 
 
+def pieces(run: bytes) -> list[tuple[int, int]]:
+    """Where to test a run: all of it if it fits an alphabet, else its maximal pieces that do.
+
+    Padding at the end of the run belongs to the last piece.
+    """
+    body = len(run.rstrip(b"="))
+    if any(p.fullmatch(run, 0, body) for p in _FITS):
+        return [(0, len(run))]
+    found = (m.span() for p in _FITS for m in p.finditer(run, 0, body))
+    out: list[tuple[int, int]] = []
+    for start, end in sorted({s for s in found if s[1] - s[0] >= MIN_RUN}, key=lambda s: (s[0], -s[1])):
+        if not out or end > out[-1][1]:  # not within the one before
+            out.append((start, end))
+    return [(start, len(run) if end == body else end) for start, end in out]
+
+
 def base_spans(raw: bytes, hex_runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) in bytes, unsorted."""
     out = [(a, 2, b) for a, b in hex_runs]
@@ -169,7 +189,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 base = base_spans(raw, own[0][t])
                 spans = [(cp(a), k, cp(b)) for a, k, b in base]
                 found = []
-                for a, b in own[1][t]:
+                for a, b in ((a + x, a + y) for a, b in own[1][t] for x, y in pieces(raw[a:b])):
                     tested = battery(raw[a:b].decode("ascii"))
                     if tested and not any(x <= a and b <= y for x, _, y in base):
                         found.append({"a": cp(a), "b": cp(b), "n": b - a, "logp": tested[0], "random": tested[1]})
