@@ -1,14 +1,20 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts are compared lower-cased, with one space between words.  A benchmark item is cut into passages
-of ``PASSAGE_WORDS`` words that overlap by half (a shorter item is one passage), so a leak of a part
-counts too.  A passage of m characters has an edit budget k = ``EDIT_SHARE`` * m.  If a region of a
+of ``PASSAGE_WORDS`` and of ``PART_WORDS`` words that start at every word (a shorter item is one
+passage), so a leak of ``PART_WORDS`` words counts wherever it begins, and one of more than twice as
+many with any one word replaced.  A passage
+of m characters has an edit budget k = ``EDIT_SHARE`` * m.  If a region of a
 document is within k edits of a passage, the two share at least m + 1 - q - k * q q-grams, and the
 diagonals (position in the document less position in the passage) of these differ by at most k.  So
 shared q-grams are counted in bands of 2 * (k + 1) diagonals that overlap by half; every such region
 has one band that holds them all.  Bands that meet the bound are verified by an alignment within the
 band (passage whole, document free at both ends); the filter loses nothing.
 
+Items of up to 2 * ``PART_WORDS`` words are also sought whole with any one word replaced: the first
+or the second half is then as it was, and one automaton finds these.  An item of fewer than
+``MIN_CHARS`` characters is sought word for word.
+
 The benchmark is a query set: it's read in blocks of at most ``BLOCK_BYTES`` of text, each block is
 sent to the tasks, and all documents are streamed against it.
 """
@@ -17,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +34,9 @@ from storelens.llm.textvec import mix, powers
 Q = 12
 EDIT_SHARE = 0.06
 PASSAGE_WORDS = 25
+PART_WORDS = 12
 MIN_CHARS = 24
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 18
 CHUNK_CHARS = 1 << 20
 _BASE = 0x5851F42D4C957F2D
 _FILTER_BITS = 22
@@ -39,11 +47,22 @@ def normal(text: str | None) -> str:
 
 
 def passages_of(text: str | None) -> list[str]:
-    """Passages of an item; an item of fewer than ``MIN_CHARS`` characters has none, as it's too short to tell a leak from chance."""
+    """Passages of an item; an item of fewer than ``MIN_CHARS`` characters has none: it's sought word for word."""
     words = normal(text).split(" ")
-    n = PASSAGE_WORDS
-    starts = [0] if len(words) <= n else sorted({*range(0, len(words) - n, n // 2), len(words) - n})
-    return [p for s in starts if len(p := " ".join(words[s : s + n])) >= MIN_CHARS]
+    out = []
+    for n in (PASSAGE_WORDS, PART_WORDS):
+        out += [" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))]
+    return [p for p in dict.fromkeys(out) if len(p) >= MIN_CHARS or len(words) > PART_WORDS]
+
+
+def word_edits(a: str, b: str) -> int:
+    """Edit distance of two words."""
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
 
 
 def budget(m: int) -> int:
@@ -98,19 +117,43 @@ def align(passage: np.ndarray, region: np.ndarray, width: int) -> tuple[int, int
     return best, d, end
 
 
+def exact(passage: np.ndarray, region: np.ndarray) -> int:
+    """Where the passage first stands in the region as it is, or -1."""
+    raw, sought = region.tobytes(), passage.tobytes()
+    at = raw.find(sought)
+    while at >= 0 and at % 4:
+        at = raw.find(sought, at + 1)
+    return at // 4 if at >= 0 else -1
+
+
 class Benchmark:
     """Q-gram index of the passages of some items, small enough to send to every task."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items, self.codes = [], []
+        halves: dict[str, list[tuple[int, int, list[str], list[str]]]] = {}
         for key, text in items:
             for p in passages_of(text):
                 self.items.append(key)
                 self.codes.append(codes(p))
+            whole = normal(text)
+            words = whole.split(" ")
+            if whole and len(words) <= 2 * PART_WORDS:
+                self.items.append(key)
+                self.codes.append(codes(""))
+                cut = (len(words) + 1) // 2 if len(whole) >= MIN_CHARS and len(words) > 1 else len(words)
+                for first, here, other in ((1, words[:cut], words[cut:]), (0, words[cut:], words[:cut])):
+                    if here:
+                        halves.setdefault(f" {' '.join(here)} ", []).append((len(self.items) - 1, first, here, other))
+        self.halves = ahocorasick.Automaton() if halves else None
+        for pattern, uses in halves.items():
+            self.halves.add_word(pattern, (len(pattern), uses))
+        if halves:
+            self.halves.make_automaton()
         self.size = np.array([len(c) for c in self.codes], np.int64)
-        self.k = np.array([budget(m) for m in self.size], np.int64)
+        self.k = np.array([max(0, budget(m)) for m in self.size], np.int64)
         self.bound = self.size + 1 - Q - self.k * Q
-        grams = [gram_hashes(c) for c in self.codes]
+        grams = [gram_hashes(c) if len(c) >= Q else np.zeros(0, np.uint64) for c in self.codes]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
@@ -150,11 +193,42 @@ class Benchmark:
         out_pair, out_band = out_pair[full], out_band[full]
         return out_pair // len(self.size), out_pair % len(self.size), out_band
 
-    def regions(self, x: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(text, passage, start, end, distance) of the regions within budget, one for overlapping ones."""
+    def replaced(self, x: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item's entry, start, end, distance) of whole short items with at most one word replaced."""
+        for t in range(len(edges) - 1 if self.halves else 0):
+            text = f" {x[edges[t] : edges[t + 1]].tobytes().decode('utf-32-le', 'surrogatepass')} "
+            seen = set()
+            for last, (size, uses) in self.halves.iter(text):
+                begin, end = last - size + 1, last + 1  # with the space on either side
+                for p, first, _, other in uses:
+                    n = len(other)
+                    if not n:
+                        near = []
+                    else:
+                        near = text[end:].split(" ", n)[:n] if first else text[:begin].rsplit(" ", n)[-n:]
+                    wrong = [(a, b) for a, b in zip(near, other, strict=False) if a != b]
+                    if len(near) < n or len(wrong) > 1:
+                        continue
+                    more = sum(map(len, near)) + n
+                    spot = (begin, end - 2 + more) if first else (begin - more, end - 2)
+                    if (p, spot) not in seen:
+                        seen.add((p, spot))
+                        yield t, p, max(0, spot[0]), min(spot[1], len(text) - 2), sum(word_edits(a, b) for a, b in wrong)
+
+    def regions(self, x: np.ndarray, edges: np.ndarray, one: bool = False) -> list[tuple[int, int, int, int, int]]:
+        """(text, passage, start, end, distance) of the regions within budget, one for overlapping ones.
+
+        With ``one`` a text's search ends with its first region.
+        """
         best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        found = set()
+        for t, p, start, end, distance in self.replaced(x, edges):
+            best.setdefault((t, p), []).append((distance, start, end))
+            found.add(t)
         shift = int(self.size.max()) if len(self.size) else 0
         for t, p, band in zip(*(a.tolist() for a in self.bands(x, edges)), strict=True):
+            if one and t in found:
+                continue
             k, m = int(self.k[p]), int(self.size[p])
             low = (band - 1) * (k + 1) - shift  # first diagonal of the band
             start, stop = int(edges[t]), int(edges[t + 1])
@@ -162,9 +236,12 @@ class Benchmark:
             width = low + 2 * (k + 1) + k - begin
             if width < 1:
                 continue
-            distance, a, b = align(self.codes[p], x[begin : min(stop, begin + m + width)], width)
+            region = x[begin : min(stop, begin + m + width)]
+            a = exact(self.codes[p], region)
+            distance, a, b = (0, a, a + m) if a >= 0 else align(self.codes[p], region, width)
             if distance > k:
                 continue
+            found.add(t)
             spot = (distance, begin - start + a, begin - start + b)
             kept = best.setdefault((t, p), [])
             clash = [s for s in kept if s[1] < spot[2] and spot[1] < s[2]]
@@ -247,7 +324,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for begin, x, edges in _chunks(batch.column(column)):
-                    for t, *_ in shared.value.regions(x, edges):
+                    for t, *_ in shared.value.regions(x, edges, one=True):
                         clean[begin + t] = False
                 yield batch.filter(pa.array(clean))
 

@@ -2,7 +2,7 @@
 
 import random
 
-from storelens.llm import secrets
+from storelens.llm import decontam, secrets
 
 KEY = "Zk3x9QpLm2Vt8RbYw5HsJd7FgNc4TaXe6UiOz1K0"
 
@@ -26,3 +26,29 @@ def test_pieces_are_maximal():
         want = [(a, b) for a, b in ok if (a == 0 or not fits(run[a - 1 : b])) and (b == body or not fits(run[a : b + 1]))]
         got = secrets.pieces(run.encode())
         assert [(a, min(b, body)) for a, b in got] == want or (fits(run[:body]) and got == [(0, len(run))])
+
+
+def test_part_leaks_are_found_wherever_they_begin(spark, make_docs, prose):
+    items = [(k, " ".join(prose(50, 900 + k, 5000))) for k in range(6)] + [(10 + k, " ".join(prose(14 + k, 950 + k, 5000))) for k in range(9)] + [(30, "ab cd")]
+    words = {i: t.split() for i, t in items}
+    r, docs, want = random.Random(8), [], set()
+
+    def add(item, part):
+        around = [prose(40, len(docs) + 5000, 5000), prose(40, len(docs) + 7000, 5000)]
+        docs.append((len(docs), " ".join([*around[0], *part, *around[1]]), "a"))
+        want.add((len(docs) - 1, item))
+
+    for item in range(6):
+        for n in (12, 16, 20, 24, 28, 32):
+            at = r.randrange(51 - n)
+            add(item, words[item][at : at + n])
+    for item in [*range(10, 19), 0, 1, 2]:
+        for _ in range(3):
+            part = list(words[item])[:25]
+            part[r.randrange(len(part))] = "replacement"
+            add(item, part)
+    add(30, ["ab", "cd"])
+    docs.append((len(docs), "xab cd ab cde " + " ".join(prose(60, 1, 5000)), "a"))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.leaks(make_docs(docs), bench).collect()} == want
+    assert [x.doc_id for x in decontam.without_leaks(make_docs(docs), bench).collect()] == [len(docs) - 1]
