@@ -605,6 +605,20 @@ def changed_flag(spark, sf_dir):
     return history.changed_flag(_side(spark, sf_dir, 1996), _side(spark, sf_dir, 1997), 105)
 
 
+# whole snapshots: every lineitem has its own path on both sides; open ones move, accepted ones have another blob
+_OLD_FILES = "SELECT concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate::DATE) AS path, l_partkey AS blob FROM lineitem"
+_NEW_FILES = "SELECT concat(CASE WHEN l_linestatus = 'O' THEN 'm/' ELSE '' END, concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate::DATE)) AS path, CASE WHEN l_returnflag = 'A' THEN -l_suppkey ELSE l_partkey END AS blob FROM lineitem"
+
+
+@query(f"SELECT coalesce(a.path, b.path) AS path, a.blob AS old, b.blob AS new FROM ({_OLD_FILES}) a FULL JOIN ({_NEW_FILES}) b ON a.path = b.path WHERE a.blob IS DISTINCT FROM b.blob")
+def snapshot_diff_whole(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    path = F.concat_ws("/", *(F.col(f"l_{c}").cast("string") for c in ("orderkey", "linenumber", "partkey", "suppkey")), F.col("l_shipdate").cast("date").cast("string"))
+    moved = F.concat(F.when(F.col("l_linestatus") == "O", "m/").otherwise(""), path)
+    blob = F.when(F.col("l_returnflag") == "A", -F.col("l_suppkey")).otherwise(F.col("l_partkey"))
+    return history.snapshot_diff(rows.select(path.alias("path"), F.col("l_partkey").alias("blob")), rows.select(moved.alias("path"), blob.alias("blob")))
+
+
 # --- scores --------------------------------------------------------------------------------------
 
 
@@ -624,6 +638,17 @@ def multiset_diff(spark, sf_dir):
     return history.multiset_diff(_source_lines(spark, sf_dir, "src1"), _source_lines(spark, sf_dir, "src7"), ["line"])
 
 
+# all documents, those with even ids against those with odd ones
+_HALF_LINES_SQL = "SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE doc_id % 2 = {}"
+
+
+@query(SQL["multiset_diff"].replace(_SOURCE_LINES_SQL.format("src1"), _HALF_LINES_SQL.format(0)).replace(_SOURCE_LINES_SQL.format("src7"), _HALF_LINES_SQL.format(1)))
+def multiset_diff_whole(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    half = lambda k: docs.where(F.col("doc_id") % 2 == k).select(F.explode(lines.lines_of(F.coalesce("text", F.lit("")))).alias("line")).where("line <> ''")
+    return history.multiset_diff(half(0), half(1), ["line"])
+
+
 # SQL and Terraform texts, put before each document's text
 _SQL_TEXT = (
     "CREATE TABLE a (b int REFERENCES c); -- create view v", "create or replace view v as with x as (select 'it''s join' from t join u) select * from x union all select 1", "/* create table z */ CREATE UNIQUE INDEX i ON t(a);",
@@ -722,6 +747,12 @@ def complexity_delta(spark, sf_dir):
     return scoring.complexity_delta(docs.where("source = 'src1'"), docs.where("source = 'src7'"))
 
 
+@query(SQL["complexity_delta"].replace("code AS (SELECT doc_id, source,", "code AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'src1' ELSE 'src7' END AS source,"))
+def complexity_delta_whole(spark, sf_dir):
+    docs = code_docs(spark, sf_dir)
+    return scoring.complexity_delta(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"))
+
+
 _GO_MODS = (("module example.com/a\ngo 1.20", "example.com/a/"), ("// x\n \tmodule  b/c \r\n", "b/c/"), ("go 1.20", None), ("module \nmodule d", "d/"), ("xmodule e", None))
 
 
