@@ -588,6 +588,13 @@ def introduced_deleted(spark, sf_dir):
     return history.introduced_deleted(has.join(known.select("commit", "ts"), "commit"), known, has.where("object % 3 = 0").select("object"))
 
 
+@query(SQL["introduced_deleted"].replace(_PRESENCE_SQL, "SELECT DISTINCT l_partkey AS object, l_orderkey AS commit FROM lineitem"))
+def introduced_deleted_whole(spark, sf_dir):
+    has = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("object"), F.col("l_orderkey").alias("commit")).distinct()
+    known = _commits(spark, sf_dir)
+    return history.introduced_deleted(has.join(known.select("commit", "ts"), "commit"), known, has.where("object % 3 = 0").select("object"))
+
+
 _SIDE = "SELECT l_linenumber * 100 + l_orderkey % 97 AS path, min(l_partkey) AS blob FROM lineitem WHERE year(l_shipdate) = {} GROUP BY 1"
 
 
