@@ -39,15 +39,16 @@ class PieceTokenizer:
 
     A piece is what lies between spaces, with the space before it.  Byte-level BPE never merges
     across such a space, unless white space stands on both sides of it; texts where it does are
-    encoded whole.  The memory is bounded: beyond ``CACHED_PIECES`` it starts anew.
+    encoded whole.  The memory is bounded: beyond ``CACHED_PIECES`` it starts anew.  With ``literal``
+    the text of a special token is encoded like any other; without, it gives the token's id.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.seen: dict[str, bytes | None] = {}
 
@@ -88,7 +89,7 @@ _open: dict[str, PieceTokenizer] = {}
 def _tokenizer(path: str) -> PieceTokenizer:
     """One for each Python worker."""
     if path not in _open:
-        _open[path] = PieceTokenizer(path)
+        _open[path] = PieceTokenizer(path, literal=False)
     return _open[path]
 
 

@@ -1,8 +1,11 @@
 """Operators must find what lies anywhere, by truth that isn't made with their own cuts."""
 
 import random
+import zlib
 
-from storelens.llm import decontam, secrets
+import numpy as np
+
+from storelens.llm import decontam, packing, secrets
 
 KEY = "Zk3x9QpLm2Vt8RbYw5HsJd7FgNc4TaXe6UiOz1K0"
 
@@ -52,3 +55,15 @@ def test_part_leaks_are_found_wherever_they_begin(spark, make_docs, prose):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     assert {(x.doc_id, x.item_id) for x in decontam.leaks(make_docs(docs), bench).collect()} == want
     assert [x.doc_id for x in decontam.without_leaks(make_docs(docs), bench).collect()] == [len(docs) - 1]
+
+
+def test_token_ids_of_special_tokens_are_the_librarys(make_docs):
+    from tokenizers import Tokenizer
+
+    r, ref = random.Random(6), Tokenizer.from_file(packing.tokenizer_path())
+    parts = ["a", "bc", "é", " ", "  ", "\n", ".", "'s", "foo", "<|endoftext|>", "漢"]
+    texts = ["a <|endoftext|> b<|endoftext|>"] + ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(2000)]
+    got = {x.doc_id: (x.n_tokens, x.ids_crc32) for x in packing.packed(make_docs([(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*ref.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), t
