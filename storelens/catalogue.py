@@ -891,6 +891,13 @@ def evidence_whole(spark, sf_dir):
     return scoring.change_evidence(*_whole_change(spark, sf_dir), limit=None).select("dimension", "path")
 
 
+@query(f"WITH tx AS (SELECT doc_id AS k, concat_ws(chr(10), [{', '.join(_quoted(t) for t, _ in _TF_TEXT)}][(doc_id % {len(_TF_TEXT)})::INT + 1], coalesce(text, '')) AS t FROM documents), {_terraform_sql('tx')} SELECT k AS doc_id, {', '.join(constructs.TERRAFORM)} FROM tfn")
+def terraform_counts_whole(spark, sf_dir):
+    head = F.element_at(F.array(*(F.lit(t) for t, _ in _TF_TEXT)), (F.col("doc_id") % len(_TF_TEXT) + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".tf")).alias("path"), F.concat_ws("\n", head, F.coalesce("text", F.lit(""))).alias("text"))
+    return scoring.with_constructs(docs).select("doc_id", *constructs.TERRAFORM)
+
+
 _RECORDS = (
     ("pr_id\tmerged_at\tstage\tbase\tto", None), ("1\t2024\tpre\tmain\tdev", ""), ("# note", None), ("", None), ("2\t2024\tmid\tmain\tdev", "stage must be pre or post"), ("3\t2024\tpost\tmain", "needs five tab-separated columns"),
     ("4\t2024\tpost\tmain\tdev\tx", "invalid record"), ("\t2024\tpost\tmain\tdev", "invalid record"), (" 5\t2024\tpost\tmain\tdev\r", ""),
