@@ -1,284 +1,63 @@
-"""A context-mixing arithmetic coder for token ids, run on many blocks at once.
+"""The token-id coder: ``IdCoder.java``, compiled by Spark's own compiler and run in the executors.
 
-Every block is coded on its own, from a fresh model, and has a header with checksums.  For each id
-the model has two guesses: the id that followed the same two ids before (order 2) and the one that
-followed the same id (order 1).  A binary decision says whether the order-2 guess holds, a second one
-whether the order-1 guess does; their probabilities adapt by how often the guesses held.  Otherwise
-the id is coded in pieces of four bits, high ones first.  Each piece has an adaptive distribution over
-16 values that the pieces before it select (order 0).  For the first two pieces it's mixed with one
-that the id before selects (order 1); the weights follow which of the two did better.
+A context-mixing coder makes some hundred operations for each id, one after another, so it runs in
+the JVM beside Spark's generated code.  Janino, the compiler that Spark uses for that code, compiles
+it on the driver; the classes travel as a jar of a few kilobytes that Spark hands to each executor,
+and two SQL functions call them:
 
-The blocks of a segment are coded in lockstep: NumPy does one decision for all blocks at a time.  All
-arithmetic is in integers, so any machine decodes what another has coded.
+* ``storelens_encode_ids(binary)``: little-endian unsigned 32-bit ids to blocks, one after another;
+* ``storelens_decode_ids(binary)``: back; fails where a block is damaged.
+
+An empty binary gives an empty one; a null gives an error.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
-
-import numpy as np
-
-MAGIC, VERSION = b"SLID", 1
-HEADER = struct.Struct("<4sBBIIII")  # magic, version, bytes of an id, ids, payload bytes, crc of ids, of payload
-BLOCK, LEAST_BLOCK, LANES = 4096, 256, 2048
-
-_GUESSES = 1024  # slots of a block's guess tables; a slot has the guess and, in its low two bits, how sure it is
-_ROWS0, _ROWS1 = 17 + 512, 64 + 256  # distributions of a block: order 0, order 1
-_TOTAL, _FLOOR, _RATE = 14, 20, 4  # distributions sum to 2**14; no value falls under about (_FLOOR - 2**_RATE)
-_ROW = "V32"  # a distribution as one item, which NumPy scatters faster than a row
-_k = np.arange(16)
-_FLAT = ((_k + 1) << (_TOTAL - 4)).astype(np.int16)
-_GOAL = np.where(_k[None, :] < _k[:, None], (_k + 1) * _FLOOR, (1 << _TOTAL) - (15 - _k) * _FLOOR).astype(np.int16)  # by value
-_LIMIT = np.uint64(1 << 20)
-_MASK48 = np.uint64((1 << 48) - 1)
-
-
-class _Lanes:
-    """Coder registers of all blocks; ``ids`` is None when decoding."""
-
-    def __init__(self, n: int, payloads: list[bytes] | None):
-        self.low = np.zeros(n, np.uint64)
-        self.high = np.full(n, _MASK48)
-        self.at = np.zeros(n, np.int64)
-        self.decoding = payloads is not None
-        if self.decoding:
-            self.cap = max(map(len, payloads)) // 2 + 8
-            self.words = np.zeros((n, self.cap), np.uint16)
-            for k, p in enumerate(payloads):
-                self.words[k, : len(p) // 2] = np.frombuffer(p, "<u2")
-            self.words = self.words.ravel()
-            self.code = np.zeros(n, np.uint64)
-            every = np.arange(n)
-            for _ in range(3):
-                self.code = (self.code << np.uint64(16)) | self.words[every * self.cap + self.at].astype(np.uint64)
-                self.at += 1
-        else:
-            self.cap = 1024
-            self.words = np.zeros(n * self.cap, np.uint16)
-
-    def room(self, more: int) -> None:
-        """Before coding one id: space for the words it can give."""
-        if not self.decoding and int(self.at.max()) + more > self.cap:
-            n = len(self.at)
-            wider = np.zeros((n, self.cap * 2), np.uint16)
-            wider[:, : self.cap] = self.words.reshape(n, self.cap)
-            self.words, self.cap = wider.ravel(), self.cap * 2
-
-    def open(self, lanes: np.ndarray) -> list:
-        return [lanes, self.low[lanes], self.high[lanes], self.code[lanes] if self.decoding else None]
-
-    def close(self, state: list) -> None:
-        lanes, low, high, code = state
-        self.low[lanes], self.high[lanes] = low, high
-        if self.decoding:
-            self.code[lanes] = code
-
-    def bit(self, state: list, p: np.ndarray, known: np.ndarray | None) -> np.ndarray:
-        """Code one decision a lane; p is the chance of a 1 in 4096ths."""
-        _, low, high, code = state
-        mid = low + (((high - low) * p.astype(np.uint64)) >> np.uint64(12))
-        bit = code <= mid if self.decoding else known
-        state[2] = np.where(bit, mid, high)
-        state[1] = np.where(bit, low, mid + np.uint64(1))
-        return bit
-
-    def find(self, state: list, upper: np.ndarray) -> np.ndarray:
-        """The value below 16 that comes next; ``upper`` has the cumulated distributions."""
-        _, low, high, code = state
-        at = ((code - low) // ((high - low) >> np.uint64(_TOTAL))).astype(upper.dtype)
-        below = (upper <= at[:, None]).view(np.uint64)  # 16 truth bytes; their sum is the value
-        return np.minimum(((below[:, 0] + below[:, 1]) * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64), 15)
-
-    def piece(self, state: list, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
-        """Narrow to a value that takes begin to end of the distribution's total."""
-        _, low, high, _ = state
-        unit = (high - low) >> np.uint64(_TOTAL)
-        state[2] = np.where(value == 15, high, low + unit * end.astype(np.uint64) - np.uint64(1))
-        state[1] = low + unit * begin.astype(np.uint64)
-
-    def shift(self, state: list) -> None:
-        """Move settled words out (or in); one decision may come between."""
-        lanes, low, high, code = state
-        small = high - low < _LIMIT
-        if small.any():  # cut at the word boundary inside, so that the first word settles
-            edge = (high >> np.uint64(32)) << np.uint64(32)
-            small &= edge > low
-            upper = small & (high - edge >= edge - low)
-            low[upper] = edge[upper]
-            lower = small & ~upper
-            high[lower] = edge[lower] - np.uint64(1)
-        while True:
-            ready = np.flatnonzero((low ^ high) < np.uint64(1 << 32))
-            if not len(ready):
-                return
-            own = lanes[ready]
-            place = own * self.cap + self.at[own]
-            self.at[own] += 1
-            if self.decoding:
-                code[ready] = ((code[ready] << np.uint64(16)) & _MASK48) | self.words[place].astype(np.uint64)
-            else:
-                self.words[place] = (low[ready] >> np.uint64(32)).astype(np.uint16)
-            low[ready] = (low[ready] << np.uint64(16)) & _MASK48
-            high[ready] = ((high[ready] << np.uint64(16)) & _MASK48) | np.uint64(0xFFFF)
+import tempfile
+import zipfile
+from pathlib import Path
 
-    def payloads(self) -> list[bytes]:
-        n = len(self.at)
-        rows = self.words.reshape(n, self.cap)
-        out = []
-        for k in range(n):
-            last = [(int(self.high[k]) >> s) & 0xFFFF for s in (32, 16, 0)]
-            out.append(rows[k, : self.at[k]].astype("<u2").tobytes() + struct.pack("<3H", *last))
-        return out
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
+SOURCE = Path(__file__).with_name("IdCoder.java")
+FUNCTIONS = {"storelens_encode_ids": "storelens.IdCoder$Encode", "storelens_decode_ids": "storelens.IdCoder$Decode"}
 
-def _lockstep(lengths: np.ndarray, width: int, ids: np.ndarray | None, payloads: list[bytes] | None) -> tuple[np.ndarray, list[bytes] | None]:
-    """Code or decode blocks whose lengths don't increase; ids is a matrix, a row for each block."""
-    n, steps = len(lengths), int(lengths[0])
-    lanes = _Lanes(n, payloads)
-    decoding = payloads is not None
-    turned = np.zeros((steps, n), np.uint32) if decoding else ids.T.copy()
-    guess2, guess1 = np.zeros(n * _GUESSES, np.int64), np.zeros(n * _GUESSES, np.int64)
-    flags = np.full(n * 128, 1 << 15, np.uint16)
-    order0 = np.tile(_FLAT, (n * _ROWS0, 1))
-    order1 = np.tile(_FLAT, (n * _ROWS1, 1))
-    items0, items1 = order0.view(_ROW).ravel(), order1.view(_ROW).ravel()
-    trust = np.full(n * 2, 1 << 14, np.int32)  # in order 0, of 2**15, for the two mixed pieces
-    last1, last2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-    every = np.arange(n)
 
-    def flag(state: list, slot: np.ndarray, known: np.ndarray | None) -> np.ndarray:
-        value = flags[slot].astype(np.int32)
-        bit = lanes.bit(state, np.clip(value >> 4, 32, 4064), known)
-        lanes.shift(state)
-        flags[slot] = (value + (np.where(bit, 65535, 0) - value >> 4)).astype(np.uint16)
-        return bit
+def _loader(spark: SparkSession):
+    """The class loader with the coder, once for each context; its classes are handed to all executors."""
+    context = spark.sparkContext
+    loader = getattr(context, "_storelens_coder", None)
+    if loader is None:
+        compiler = spark._jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook(SOURCE.read_text())
+        target = Path(tempfile.mkdtemp(prefix="storelens-")) / "storelens-ids.jar"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as jar:
+            for name, code in compiler.getBytecodes().items():
+                jar.writestr(name.replace(".", "/") + ".class", bytes(code))
+        context._jsc.addJar(str(target))
+        loader = context._storelens_coder = compiler.getClassLoader()
+    return loader
 
-    def ends(rows: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        flat, spot = rows.ravel(), np.arange(0, 16 * len(value), 16) + value
-        return np.where(value > 0, flat[spot - 1], 0).astype(np.int32), flat[spot].astype(np.int32)
 
-    def learn(table: np.ndarray, at: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> None:
-        goal = goal - rows
-        goal >>= _RATE
-        goal += rows
-        table[at] = goal.view(_ROW).ravel()
+def registered(spark: SparkSession) -> SparkSession:
+    """``spark``, with both functions."""
+    loader = _loader(spark)
+    binary = spark._jvm.org.apache.spark.sql.types.DataTypes.BinaryType
+    for name, kind in FUNCTIONS.items():
+        if not spark.catalog.functionExists(name):
+            spark._jsparkSession.udf().register(name, loader.loadClass(kind).newInstance(), binary)
+    return spark
 
-    for t in range(steps):
-        active = int(np.searchsorted(-lengths, -t, "left"))
-        here = every[:active]
-        lanes.room(3 * width + 4)
-        a, b = last1[:active], last2[:active]
-        slot1 = here * _GUESSES + ((a * np.uint32(0x9E3779B1)) >> np.uint32(22))
-        slot2 = here * _GUESSES + (((a * np.uint32(0x85EBCA6B)) ^ (b * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F) >> np.uint32(22))
-        held1, held2 = guess1[slot1], guess2[slot2]
-        g1, g2, s1, s2 = held1 >> 2, held2 >> 2, held1 & 3, held2 & 3
-        same = g1 == g2
-        known = None if decoding else turned[t, :active].astype(np.int64)
-        value = np.zeros(active, np.int64)
-        state = lanes.open(here)
-        hit = flag(state, here * 128 + s2 * 8 + s1 * 2 + same, None if decoding else known == g2)
-        lanes.close(state)
-        value[hit] = g2[hit]
-        rest = here[~hit & ~same]
-        if len(rest):
-            state = lanes.open(rest)
-            second = flag(state, rest * 128 + 64 + s1[rest] * 8 + s2[rest] * 2, None if decoding else known[rest] == g1[rest])
-            lanes.close(state)
-            value[rest[second]] = g1[rest[second]]
-            hit[rest[second]] = True
-        rest = here[~hit]
-        if len(rest):
-            state = lanes.open(rest)
-            context = (a[rest] * np.uint32(0x9E3779B1)) >> np.uint32(8)
-            wanted = None if decoding else known[rest]
-            got = np.zeros(len(rest), np.uint32)
-            for j in range(2 * width):
-                piece = None if decoding else ((wanted >> (4 * (2 * width - 1 - j))) & 15)
-                if j < 2:
-                    at0 = rest * _ROWS0 + j + got
-                    at1 = rest * _ROWS1 + (context & np.uint32(63) if j == 0 else np.uint32(64) + ((context + got * np.uint32(0x27D4EB2F)) & np.uint32(255)))
-                    rows0, rows1 = np.take(order0, at0, 0), np.take(order1, at1, 0)
-                    pick = rest * 2 + j
-                    w = trust[pick]
-                    share = 1 + (w * 14 >> 15)
-                    if decoding:
-                        wide = share[:, None]
-                        piece = lanes.find(state, (rows0 * wide + rows1 * (16 - wide)) >> 4)
-                    (begin0, end0), (begin1, end1) = ends(rows0, piece), ends(rows1, piece)
-                    lanes.piece(state, piece, (begin0 * share + begin1 * (16 - share)) >> 4, (end0 * share + end1 * (16 - share)) >> 4)
-                    lanes.shift(state)
-                    trust[pick] = w + (np.where(end0 - begin0 >= end1 - begin1, 1 << 15, 0) - w >> 5)
-                    goal = np.take(_GOAL, piece, 0)
-                    learn(items0, at0, rows0, goal)
-                    learn(items1, at1, rows1, goal)
-                else:
-                    row = got & np.uint32(255) if j == 2 else np.uint32(256) + ((got * np.uint32(0x9E3779B1)) >> np.uint32(24))
-                    at0 = rest * _ROWS0 + (17 + row)
-                    rows0 = np.take(order0, at0, 0)
-                    if decoding:
-                        piece = lanes.find(state, rows0)
-                    lanes.piece(state, piece, *ends(rows0, piece))
-                    lanes.shift(state)
-                    learn(items0, at0, rows0, np.take(_GOAL, piece, 0))
-                got = (got << np.uint32(4)) | piece.astype(np.uint32)
-            lanes.close(state)
-            value[rest] = got
-        turned[t, :active] = value
-        for guess, slot, g, sure in ((guess1, slot1, g1, s1), (guess2, slot2, g2, s2)):
-            right = g == value
-            guess[slot] = np.where(right, g * 4 + np.minimum(sure + 1, 3), np.where(sure > 1, g * 4 + sure - 1, value * 4))
-        last2[:active], last1[:active] = a.copy(), value
-    return turned.T, None if decoding else lanes.payloads()
 
+def encoded(ids: Column) -> Column:
+    return F.call_function("storelens_encode_ids", ids)
 
-def encode(ids: np.ndarray, block: int | None = None) -> list[bytes]:
-    """Blocks that hold ``ids`` (unsigned, below 2**32) in order.
 
-    Without ``block``, blocks are short where there are few ids, so that lockstep pays.
-    """
-    if not len(ids):
-        return []
-    ids = np.ascontiguousarray(ids, np.uint32)
-    if block is None:
-        block = min(BLOCK, max(LEAST_BLOCK, 1 << (len(ids) // LANES).bit_length()))
-    width = max(1, (int(ids.max()).bit_length() + 7) // 8)
-    out = []
-    for begin in range(0, len(ids), block * LANES):
-        part = ids[begin : begin + block * LANES]
-        n = -(-len(part) // block)
-        lengths = np.full(n, block)
-        lengths[-1] = len(part) - block * (n - 1)
-        matrix = np.zeros((n, int(lengths[0])), np.uint32)
-        matrix.ravel()[: len(part)] = part
-        _, payloads = _lockstep(lengths, width, matrix, None)
-        for k, payload in enumerate(payloads):
-            crc = zlib.crc32(matrix[k, : lengths[k]].astype("<u4").tobytes())
-            out.append(HEADER.pack(MAGIC, VERSION, width, int(lengths[k]), len(payload), crc, zlib.crc32(payload)) + payload)
-    return out
+def decoded(blocks: Column) -> Column:
+    return F.call_function("storelens_decode_ids", blocks)
 
 
-def decode(blocks: list[bytes]) -> np.ndarray:
-    """The ids of blocks, one after the other; raises ValueError where a checksum fails."""
-    heads, payloads = [], []
-    for raw in blocks:
-        magic, version, width, n, size, crc, payload_crc = HEADER.unpack_from(raw)
-        payload = raw[HEADER.size : HEADER.size + size]
-        if magic != MAGIC or version != VERSION or len(payload) != size or zlib.crc32(payload) != payload_crc:
-            raise ValueError("not a block, or a damaged one")
-        heads.append((n, width, crc))
-        payloads.append(payload)
-    out = [np.zeros(0, np.uint32)] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda k: (heads[k][1], -heads[k][0]))
-    begin = 0
-    while begin < len(order):
-        width = heads[order[begin]][1]
-        group = [k for k in order[begin : begin + LANES] if heads[k][1] == width]
-        begin += len(group)
-        lengths = np.array([heads[k][0] for k in group])
-        matrix, _ = _lockstep(lengths, width, None, [payloads[k] for k in group])
-        for row, k in enumerate(group):
-            out[k] = matrix[row, : heads[k][0]]
-            if zlib.crc32(out[k].astype("<u4").tobytes()) != heads[k][2]:
-                raise ValueError("decoded ids don't fit their checksum")
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+def on_driver(spark: SparkSession, name: str, raw: bytes) -> bytes:
+    """One of the functions on bytes of the driver, for tools and tests."""
+    return bytes(_loader(spark).loadClass(FUNCTIONS[name]).newInstance().call(bytearray(raw)))

@@ -41,6 +41,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range."""
+    n = len(data)
+    power, inverse = powers(_BASE, n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
+
+
 class Words:
     """The words of some texts: byte ranges, the text each is in, and the first word of each text."""
 
@@ -64,11 +73,7 @@ class Words:
         self.text = np.repeat(np.arange(len(offsets) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        power, inverse = powers(_BASE, n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * power[:n], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        return hash_ranges(self.data, self.starts, self.ends)
 
     def runs(self, length: int, shorter: bool = False, base: int = WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each run of ``length`` consecutive words within a text.

@@ -6,14 +6,17 @@ import itertools
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from storelens.llm import chat, idcoder, packing, quality, urls, warc
+from storelens.llm import chat, idcoder, packing, pieces, quality, urls, warc
+from storelens.llm.common import text_buffer
 
 
 # --- archives ------------------------------------------------------------------------------------
@@ -79,43 +82,78 @@ def test_damaged_chunk_is_found(spark):
 # --- token files ---------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("top", [2, 200, 50257, 1 << 24, 1 << 32])
-def test_coder_round_trip(top):
-    r = np.random.default_rng(top)
-    for n in (0, 1, 255, 256, 257, 3000):
-        ids = np.minimum(r.zipf(1.2, n), top - 1).astype(np.uint32) if n % 2 else r.integers(0, top, n).astype(np.uint32)
-        for block in (None, 64, 1000):
-            blocks = idcoder.encode(ids, block)
-            assert (idcoder.decode(blocks) == ids).all()
-            if blocks:
-                assert (idcoder.decode(blocks[-1:]) == ids[len(ids) - len(idcoder.decode(blocks[-1:])) :]).all()
+def coded(spark, ids):
+    return idcoder.on_driver(spark, "storelens_encode_ids", np.asarray(ids).astype("<u4").tobytes())
+
 
+def decoded(spark, blocks):
+    return np.frombuffer(idcoder.on_driver(spark, "storelens_decode_ids", blocks), "<u4")
 
-def test_coder_compresses_and_checks():
-    ids = np.tile(np.arange(50, dtype=np.uint32) * 997 % 50257, 200)
-    blocks = idcoder.encode(ids, 4096)
-    assert sum(map(len, blocks)) < len(ids) // 4
-    bad = bytearray(blocks[0])
-    bad[-3] ^= 1
-    with pytest.raises(ValueError):
-        idcoder.decode([bytes(bad)])
+
+@pytest.mark.parametrize("top", [1, 2, 200, 50257, 1 << 24, 1 << 32])
+def test_coder_round_trip(spark, top):
+    r = np.random.default_rng(top)
+    for n in (0, 1, 255, 3001, 65535, 65536, 65537, 140000):
+        ids = np.minimum(r.zipf(1.2, n), top - 1).astype(np.uint32) if n % 2 else r.integers(0, top, n).astype(np.uint32)
+        blocks = coded(spark, ids)
+        assert (decoded(spark, blocks) == ids).all()
+        assert not n or blocks[:4] == b"SLID"
+        assert len(blocks) < n * (top.bit_length() / 8 + 0.1) + 32 * (n // 65536 + 1)
+
+
+def test_blocks_stand_alone(spark):
+    ids = np.random.default_rng(5).integers(0, 50, 200_000).astype(np.uint32)
+    blocks, at = coded(spark, ids), 0
+    for first in range(0, len(ids), 65536):
+        n, size = struct.unpack_from("<II", blocks, at + 8)
+        assert (decoded(spark, blocks[at : at + 24 + size]) == ids[first : first + n]).all()
+        at += 24 + size
+    assert at == len(blocks)
+
+
+def test_coder_compresses_and_checks(spark, sf_dir):
+    ids = np.tile(np.arange(50, dtype=np.uint32) * 997 % 50257, 400)
+    blocks = coded(spark, ids)
+    assert len(blocks) < len(ids) // 8
+    for at in (2, 9, 17, 21, 30, len(blocks) - 3):
+        bad = bytearray(blocks)
+        bad[at] ^= 1
+        with pytest.raises(Exception, match="block|checksum"):
+            decoded(spark, bytes(bad))
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    ids = np.concatenate([np.array(e.ids, np.uint32) for e in reference_tokenizer().encode_batch(texts, add_special_tokens=False)])
+    assert len(coded(spark, ids)) < len(zlib.compress(ids.astype("<u2").tobytes(), 6))
 
 
 def reference_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     return t
 
 
-def test_piece_tokenizer_equals_the_library():
+def test_piece_tokenizer_equals_the_library(monkeypatch):
     r = random.Random(4)
-    parts = ["a", "bc", "é", " ", "  ", "\n", "\t", "\u00a0", "\x85", ".", "'s", "1", "\u3000", "\x1c", "foo", "<|endoftext|>", "漢"]
+    parts = ["a", "bc", "é", " ", "  ", "\n", "\t", "\u00a0", "\x85", ".", "'s", "1", "\u3000", "\u2003", "\u200b", "\x1c", "foo", "<|endoftext|>", "漢", "à", "ʀ"]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(4000)] + ["", " ", "x" * 3000]
-    mine, ref = packing.PieceTokenizer(packing.tokenizer_path()), reference_tokenizer()
-    for _ in range(2):
-        assert [list(a) for a in mine.encode(texts)] == [e.ids for e in ref.encode_batch(texts, add_special_tokens=False)]
+    ref = [e.ids for e in reference_tokenizer().encode_batch(texts, add_special_tokens=False)]
+    data, offsets = text_buffer(pa.array(texts))
+
+    def check(mine, times=2):
+        for _ in range(times):
+            ids, counts = mine.encode(data, offsets)
+            assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == ref
+
+    check(pieces.PieceTokenizer(packing.tokenizer_path()))
+    monkeypatch.setattr(pieces, "CACHED_PIECES", 100)
+    check(pieces.PieceTokenizer(packing.tokenizer_path()))
+    monkeypatch.setattr(pieces, "CACHED_PIECES", 10**6)
+    monkeypatch.setattr(pieces, "PROBES", 1)
+    check(pieces.PieceTokenizer(packing.tokenizer_path()))
+    monkeypatch.setattr(pieces, "hash_ranges", lambda data, a, b: (b - a).astype(np.uint64) << np.uint64(60))
+    check(pieces.PieceTokenizer(packing.tokenizer_path()))  # equal hashes of different pieces
+    none = pieces.PieceTokenizer(packing.tokenizer_path()).encode(np.zeros(0, np.uint8), np.zeros(3, np.int64))
+    assert none[0].tolist() == [] and none[1].tolist() == [0, 0]
 
 
 def test_token_files(spark, make_docs, mixed_rows):
