@@ -26,7 +26,6 @@ def components(edges: DataFrame) -> DataFrame:
     the shared folder; the driver only learns whether edges are left.  The smallest node of a
     component always hooks to itself, so it's what all hooks lead to.
     """
-    spark = edges.sparkSession
     pair = (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     left = stored(edges.where("u <> v").select(*pair).distinct(), "edges")
     rounds = []
@@ -40,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = moved.join(hook.withColumnRenamed("node", "v"), "v").select("u", F.col("hook").alias("v"))
         left = stored(moved.where("u <> v").select(*pair).distinct(), "edges")
     if not rounds:
-        return spark.createDataFrame([], "node bigint, label bigint")
+        return left.select(F.col("u").alias("node"), F.col("v").alias("label"))
     labels = rounds[-1].withColumnRenamed("hook", "label")
     for hook in reversed(rounds[:-1]):
         end = labels.select(F.col("node").alias("hook"), "label")

@@ -24,6 +24,7 @@ from storelens.llm.common import WORD_CLASS, let, stored
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 CHUNK = 128
+SPREAD = 4096
 SEED = 17
 
 
@@ -117,9 +118,11 @@ def _fold(entries: Column, level: int) -> Column:
 
 
 def decisions(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, source, size, n, source_size, target, copies) of (doc_id, source, size) rows.
+    """(doc_id, source, size, n, source_size, target, whole, up) of (doc_id, source, size) rows.
 
-    Rows that repeat id, source and size are one entry with ``n`` rows, decided together.
+    Of ``n`` rows that repeat id, source and size, ``up`` are taken ``whole`` + 1 times, the others
+    ``whole`` times.  With a fraction x, floor(n * x) of them are up for sure; the rest, below one row,
+    is the fraction of one entry that takes part in the rounding.
     """
     sized = stored(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "sized")
     total = sized.select("source", (F.col("size") * F.col("n")).alias("size"))
@@ -135,7 +138,8 @@ def decisions(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     rounded = (F.col("size") > 0) & (F.col("part") > 0)
     u = F.xxhash64("doc_id", "source", "size", F.lit(SEED))
-    entry = F.struct((F.col("size") * F.col("n")).alias("mass"), u.alias("u"), "doc_id", "size", "n", F.col("part").alias("x"))
+    sure = F.floor(F.col("n") * F.col("part"))
+    entry = F.struct(F.col("size").alias("mass"), u.alias("u"), "doc_id", "size", "n", (F.col("n") * F.col("part") - sure).alias("x"))
     now = known.where(rounded).select("source", F.pmod(F.xxhash64(u, F.lit(1)), "chunks").alias("chunk"), entry.alias("entry"))
     most = goal.agg(F.max("chunks")).first()[0] or 0
     decided = []
@@ -154,13 +158,23 @@ def decisions(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
         most = -(-most // chunk)
         level += 1
 
-    plain = known.where(~rounded).select("doc_id", "source", "size", "n", "source_size", "target", F.col("whole").alias("copies"))
+    columns = ("doc_id", "source", "size", "n", "source_size", "target", "whole")
+    plain = known.where(~rounded).select(*columns, F.lit(0).cast("bigint").alias("up"))
     for part in decided:
         part = part.join(by, F.col("source").eqNullSafe(F.col("s")))
-        plain = plain.union(part.select("doc_id", "source", "size", "n", "source_size", "target", (F.col("whole") + F.col("up")).alias("copies")))
+        plain = plain.union(part.select(*columns, (sure + F.col("up")).cast("bigint").alias("up")))
     return plain
 
 
+def _repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` says; many copies of one row are spread over tasks."""
+    one, many = F.lit(1).cast("bigint"), F.col(times)
+    few = rows.where(many <= SPREAD).withColumn("__k", F.explode(F.sequence(one, many)))
+    parts = rows.where(many > SPREAD).withColumn("__part", F.explode(F.sequence(one, F.ceil(many / SPREAD)))).repartition("doc_id", "__part")
+    parts = parts.withColumn("__k", F.explode(F.sequence(one, F.least(F.lit(SPREAD).cast("bigint"), many - (F.col("__part") - 1) * SPREAD))))
+    return few.union(parts.select(*few.columns))
+
+
 def _rows(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"))
 
@@ -168,18 +182,55 @@ def _rows(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataF
 def mix_report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(doc_id, size, source_size, target, taken), a row for each row of ``docs``.
 
-    Documents are taken whole.  Null texts and texts without words have size 0 and give nothing; a
-    null source is a source of its own; null ids stay null; an empty table returns no rows.
+    Documents are taken whole; those of any length are counted whole.  Null texts and texts without
+    words have size 0 and give nothing; a null source is a source of its own; null ids stay null; rows
+    that repeat id, source and size are rounded one by one, and it's open which of them are taken more
+    often; an empty table returns no rows.  Other columns aren't read.
     """
     made = decisions(_rows(docs, id_col, source_col, text_col))
-    made = made.withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
-    return made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    taken = F.array(F.struct(F.col("up").alias("m"), (F.col("whole") + 1).alias("c")), F.struct((F.col("n") - F.col("up")).alias("m"), F.col("whole").alias("c")))
+    made = made.withColumn("t", F.explode(taken)).where("t.m > 0")
+    made = _repeated(made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("t.c")).alias("taken"), F.col("t.m").alias("m")), "m")
+    return made.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with their columns as they are."""
-    made = decisions(_rows(docs, id_col, source_col, text_col)).where("copies > 0")
-    made = made.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__id")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__source")) & (n_words(F.col(f"`{text_col}`")) == F.col("__size"))
+    """The rows of ``docs``, each as often as the mix takes it, with their columns as they are.
+
+    Nulls, texts without words, repeated rows and an empty table are treated as in ``mix_report``.
+    """
+    made = stored(decisions(_rows(docs, id_col, source_col, text_col)), "decisions")
+    ident, source = F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{source_col}`")
+    names = {n: f"__{n}" for n in ("id", "source", "size", "copies", "n", "up")}
+    made = made.select(*(F.col(c).alias(names[n]) for c, n in (("doc_id", "id"), ("source", "source"), ("size", "size"), ("whole", "copies"), ("n", "n"), ("up", "up"))))
+    same = ident.eqNullSafe(F.col("__id")) & source.eqNullSafe(F.col("__source"))
+    if not made.groupBy("__id", "__source").count().where("count > 1").isEmpty():  # else sizes needn't be counted again
+        same &= n_words(F.col(f"`{text_col}`")) == F.col("__size")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(made, same).select(*columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*columns)
+    alike = (F.col("__up") == 0) | (F.col("__up") == F.col("__n"))  # as all single rows are
+    copies = F.col("__copies") + F.when(F.col("__up") > 0, 1).otherwise(0)
+    out = docs.join(made.where(alike).withColumn("__copies", copies).where("__copies > 0"), same)
+    mixed_groups = made.where(~alike)
+    if not mixed_groups.isEmpty():
+        out = out.select(*columns, "__copies").union(_first_up(docs.join(mixed_groups, same)).where("__copies > 0").select(*columns, "__copies"))
+    return out.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*columns)
+
+
+def _first_up(rows: DataFrame) -> DataFrame:
+    """``rows`` with one copy more for ``__up`` of each group's ``__n`` rows.
+
+    Rows are numbered within parts of a group, of some ``SPREAD`` rows each; a part's share of ``__up``
+    is what its rows take of it in the order of the parts, so a group of any size spreads over tasks.
+    """
+    group = ("__id", "__source", "__size")
+    rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    rows = stored(rows.withColumn("__part", F.pmod(F.xxhash64("__row"), F.ceil(F.col("__n") / SPREAD))), "alike")
+    parts = rows.groupBy(*group, "__part").agg(F.count("*").alias("__many"))
+    before = F.coalesce(F.sum("__many").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = stored(parts.select(*(F.col(c).alias(f"{c}_") for c in group), F.col("__part").alias("__part_"), before.alias("__before")), "parts")
+    key = F.col("__part") == F.col("__part_")
+    for c in group:
+        key &= F.col(c).eqNullSafe(F.col(f"{c}_"))
+    number = F.row_number().over(Window.partitionBy(*group, "__part").orderBy("__row"))
+    numbered = rows.join(parts, key).withColumn("__number", number + F.col("__before"))
+    return numbered.withColumn("__copies", F.col("__copies") + F.when(F.col("__number") <= F.col("__up"), 1).otherwise(0))

@@ -1,6 +1,7 @@
 """N-gram Jaccard join: MinHash bands find groups, Bayesian pruning thins pairs, sets decide.
 
-Documents are sets of hashes of five consecutive words.  Equal sets become one entry.  Entries that
+Documents are sets of hashes of five consecutive words.  Equal sets become one entry, which a 128-bit
+key of the set names.  Entries that
 agree on a band of ``ROWS`` MinHash values are tied together, and the connected groups of those ties
 are the only places where a pair can be.  A group is dealt into blocks of bounded size, and each pair
 of blocks is one unit of work; so a group of any size spreads over many tasks, and no row is ever
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import grouped, slices, stored, text_buffer
+from storelens.llm.common import WORD_CLASS, grouped, slices, stored, text_buffer
 from storelens.llm.components import components, stars
 from storelens.llm.textvec import Words, mix
 
@@ -30,7 +31,7 @@ SHINGLE = 5
 THRESHOLD = (4, 5)  # similarity of at least 4/5
 ROWS, BANDS = 6, 48
 STEP, TOLERANCE = 16, 1e-9
-BLOCK_DOCS, BLOCK_BYTES = 1024, 16 << 20
+BLOCK_DOCS, BLOCK_BYTES = 512, 8 << 20
 
 _rng = np.random.Generator(np.random.PCG64(90210))
 _MUL = _rng.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -76,12 +77,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCH_SCHEMA = "doc_id bigint, set_key binary, bands array<bigint>"
+SKETCH_SCHEMA = "doc_id bigint, text_key binary, set_key binary, bands array<bigint>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_buffer(batch.column(1))
+        data, offsets = text_buffer(batch.column(2))
         for i, j in slices(offsets):
             hashes, first = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             full = np.flatnonzero(np.diff(first))
@@ -93,7 +94,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.zeros(j - i + 1, np.int32)
             ends[1:] = np.cumsum(np.where(np.diff(first) > 0, BANDS, 0))
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys, pa.binary()), lists], ["doc_id", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(keys, pa.binary()), lists], ["doc_id", "text_key", "set_key", "bands"])
 
 
 @lru_cache
@@ -182,8 +183,8 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def links_in_unit(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, data: np.ndarray, offsets: np.ndarray, one_block: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the documents of one unit: those with a link, a root within the unit, and their links.
+def links_in_unit(copies: np.ndarray, block: np.ndarray, data: np.ndarray, offsets: np.ndarray, one_block: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the entries of one unit: those with a link, a root within the unit, and their links.
 
     A unit holds one block (all its pairs) or two (the pairs across).  Links count copies.
     """
@@ -201,82 +202,108 @@ def links_in_unit(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, data:
     alive = _survivors(sig[left], sig[right])
     if one_block:
         alive = np.triu(alive, 1)
-    alive &= ids[left][:, None] != ids[right][None, :]
     both = _shared(sets, left, right, alive)
     a, b = THRESHOLD
     linked = alive & ((a + b) * both >= a * (size[left][:, None] + size[right][None, :]))
     x, y = np.nonzero(linked)
     u, v = left[x], right[y]
-    count = np.bincount(u, copies[v], len(ids)) + np.bincount(v, copies[u], len(ids))
-    order = np.argsort(ids, kind="stable")  # so that the root is the smallest id
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.arange(len(ids))
-    root = order[_roots(len(ids), rank[u], rank[v])][rank]
+    count = np.bincount(u, copies[v], len(sets)) + np.bincount(v, copies[u], len(sets))
     hit = np.flatnonzero(count)
-    return ids[hit], ids[root[hit]], count[hit].astype(np.int64)
+    return hit, _roots(len(sets), u, v)[hit], count[hit].astype(np.int64)
 
 
-LINK_SCHEMA = "u bigint, v bigint, links bigint"
+LINK_SCHEMA = "u binary, v binary, links bigint"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by unit."""
     for t in grouped(batches, ("gid", "lo", "hi")):
-        col = {n: t.column(n).to_numpy() for n in ("rid", "copies", "block")}
+        copies, block = (t.column(n).to_numpy() for n in ("copies", "block"))
         data, offsets = text_buffer(t.column("text"))
         one = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
-        u, v, n = links_in_unit(col["rid"], col["copies"], col["block"], data, offsets, one)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], ["u", "v", "links"])
+        u, v, n = links_in_unit(copies, block, data, offsets, one)
+        keys = t.column("entry").combine_chunks()
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(u)), keys.take(pa.array(v)), pa.array(n)], ["u", "v", "links"])
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, class_id, n_links): each document's class and its number of near duplicates.
+def _sketched(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with an id as (doc_id, text_key, text), and their sketch; equal texts have equal keys."""
+    text = F.col(f"`{text_col}`")
+    known = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("text_key"), text.alias("text")).where("doc_id IS NOT NULL")
+    return known, stored(known.mapInArrow(_sketch, SKETCH_SCHEMA), "sketch")
 
-    A link joins two documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-    more, copies included; classes are the connected components, named by their smallest id.
-    Null, empty and blank texts have no shingles: each is its own class without links.  Rows with a
-    null id take no part and return with a null class.  Rows that repeat an id are versions of one
-    document, and each returns its class.  An empty table returns no rows.  Other columns are not read.
-    """
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    known = texts.where("doc_id IS NOT NULL")
-    sketch = stored(known.mapInArrow(_sketch, SKETCH_SCHEMA), "sketch")
-    entries = stored(sketch.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rid"), F.count("*").alias("copies")), "entries")
+
+def _classed(known: DataFrame, sketch: DataFrame, block_docs: int, block_bytes: int) -> DataFrame:
+    """(set_key, class, first, n_links) of each entry; ``first`` is its first row's (doc_id, text_key)."""
+    spark = known.sparkSession
+    full = sketch.where("set_key IS NOT NULL")
+    entries = stored(full.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("copies")), "entries")
 
     # ties: entries that share a band, each to the smallest of the band
-    banded = sketch.select(F.col("doc_id").alias("rid"), "set_key", "bands").join(entries.select("set_key", "rid"), ["set_key", "rid"], "left_semi")
-    banded = stored(banded.select("rid", F.explode("bands").alias("band")), "bands")
-    full = banded.groupBy("band").agg(F.min("rid").alias("v"), F.max("rid").alias("top")).where("v < top").select("band", "v")
-    ties = banded.join(full, "band").where("rid <> v").select(F.col("rid").alias("u"), "v").distinct()
-    groups = components(stars(ties)).select(F.col("node").alias("rid"), F.col("label").alias("gid"))
-
-    # units: pairs of blocks of a group
-    members = groups.join(entries.select("rid", F.least("copies", F.lit(2**40)).alias("copies")), "rid")
-    members = stored(members.join(known.withColumnRenamed("doc_id", "rid"), "rid"), "members")
+    keyed = full.select("set_key", F.struct("doc_id", "text_key").alias("first"), "bands")
+    banded = keyed.join(entries.select("set_key", "first"), ["set_key", "first"], "left_semi").dropDuplicates(["set_key", "first"])
+    banded = stored(banded.select("set_key", F.explode("bands").alias("band")), "bands")
+    shared = banded.groupBy("band").agg(F.min("set_key").alias("v"), F.max("set_key").alias("top")).where("v < top").select("band", "v")
+    ties = banded.join(shared, "band").where("set_key <> v").select(F.col("set_key").alias("u"), "v").distinct()
+    groups = components(stars(ties)).select(F.col("node").alias("set_key"), F.xxhash64("label").alias("gid"))
+
+    # units: pairs of blocks of a group; an entry is compared by the text of its first row
+    members = groups.join(entries, "set_key").select("set_key", "gid", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
+    members = stored(members, "members")
+    members = known.join(members, ["doc_id", "text_key"]).groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("gid", "copies", "text")))
+    members = stored(members, "members")
     sizes = members.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum(F.octet_length("text")) / block_bytes)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "gid").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    dealt = members.join(sizes, "gid").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = dealt.select("gid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rid", "copies", "text")
-    units = units.repartition("gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi")
+    units = dealt.select("gid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", F.col("set_key").alias("entry"), "copies", "text")
+    # a fixed number: work grows with the pairs, so small partitions aren't to be put together by their bytes
+    units = units.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi")
     found = stored(units.mapInArrow(_units, LINK_SCHEMA), "links")
 
-    classes = components(stars(found.select("u", "v"))).select(F.col("node").alias("rid"), F.col("label").alias("class_id"))
-    links = found.groupBy(F.col("u").alias("rid")).agg(F.sum("links").alias("links"))
-    known_entries = entries.join(classes, "rid", "left").join(links, "rid", "left")
-    known_entries = known_entries.select("set_key", F.coalesce("class_id", "rid").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    keyed = sketch.where("set_key IS NOT NULL").select("doc_id", "set_key").join(known_entries, "set_key").select("doc_id", "class_id", "n_links")
+    classes = components(stars(found.select("u", "v"))).select(F.col("node").alias("set_key"), F.col("label").alias("class"))
+    links = found.groupBy(F.col("u").alias("set_key")).agg(F.sum("links").alias("links"))
+    out = entries.join(classes, "set_key", "left").join(links, "set_key", "left")
+    out = out.select("set_key", F.coalesce("class", "set_key").alias("class"), "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return stored(out, "classes")
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, class_id, n_links): each row's class and its number of near duplicates.
+
+    A link joins two rows whose sets of five-word shingles have a Jaccard similarity of 0.8 or more,
+    copies included; classes are the connected components, named by their smallest id.  Null, empty
+    and blank texts have no shingles: each is its own class without links.  Rows with a null id take no
+    part and return with a null class.  Rows that repeat an id are documents of their own, whether
+    their texts are equal or differ.  Texts of any length are compared whole.  An empty table returns
+    no rows.  Other columns are not read.
+    """
+    known, sketch = _sketched(docs, id_col, text_col)
+    classed = _classed(known, sketch, block_docs, block_bytes)
+    names = classed.groupBy("class").agg(F.min("first.doc_id").alias("class_id"))
+    named = stored(classed.join(names, "class").select("set_key", "class_id", "n_links"), "named")
+    keyed = sketch.where("set_key IS NOT NULL").select("doc_id", "set_key").join(named, "set_key").select("doc_id", "class_id", "n_links")
     blank = sketch.where("set_key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    nameless = texts.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    nameless = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id")).where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     return keyed.union(blank).union(nameless)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their class, once each; rows with a null id stay."""
-    classes = jaccard_classes(docs, id_col, text_col)
-    first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__first")).distinct()
-    column = F.col(f"`{id_col}`")
-    kept = docs.where(column.isNotNull()).join(first, column.cast("bigint") == F.col("__first"), "left_semi")
-    return kept.dropDuplicates([id_col]).union(docs.where(column.isNull()))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row of each class: that with the smallest id, of equal ids that with the smallest text key.
+
+    Rows with a null id and rows without words are no copies of anything and stay, all of them.
+    Columns pass through untouched; of rows that are equal in id and text, any one stays.
+    """
+    known, sketch = _sketched(docs, id_col, text_col)
+    classed = _classed(known, sketch, block_docs, block_bytes)
+    first = classed.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__first_id"), F.col("first.text_key").alias("__first_key"))
+    key = "__key"
+    while key in docs.columns:
+        key += "_"
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    alone = ident.isNull() | text.isNull() | ~text.rlike(WORD_CLASS)
+    keyed = docs.where(~alone).withColumn(key, F.unhex(F.md5(F.encode(text, "UTF-8"))))
+    kept = keyed.join(first, (ident.cast("bigint") == F.col("__first_id")) & (F.col(key) == F.col("__first_key")), "left_semi")
+    return kept.dropDuplicates([id_col, key]).drop(key).union(docs.where(alone))
 
 
 SQL = r"""
