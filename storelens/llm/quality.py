@@ -1,16 +1,18 @@
 """Quality rules as a short-circuit cascade, in DataFrame operations only.
 
-A rule is a feature of the text, computed by built-in functions, and a test that rejects.  The
-cascade looks at a bounded sample (``SAMPLE_ROWS`` rows, drawn at random while partitions are read
-until enough are found), measures how often each rule rejects and what it costs, and puts the rules
-into the order of rejections per cost.  One CASE expression then evaluates them in that order; as
-CASE stops at the first test that holds, a text that an early rule rejects never pays for a later
-rule.  The order changes what is spent, never the verdict, as a text is kept when no rule rejects it.
+A rule is a test on features of the text, each computed by built-in functions.  The cascade looks at
+a bounded sample (``SAMPLE_ROWS`` rows, drawn at random while partitions are read until enough are
+found).  For each row of it and each rule, it learns whether the rule rejects and what its features
+cost, in steps that are counted (characters scanned, words hashed) and not timed, so reruns agree.
+The order is greedy: the next rule is always the one with the most rejections per cost among the
+rows that the rules before it let through.  One CASE expression then evaluates the rules in that
+order; as CASE stops at the first test that holds, a text that an early rule rejects never pays for
+the features of a later one.  The order changes what is spent, never the verdict, as a text is kept
+when no rule rejects it.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -22,6 +24,7 @@ from storelens.llm.common import SPACE_CLASS, SPACES, WORD_CLASS, let, words_of
 WINDOW = 5
 SAMPLE_ROWS, SAMPLE_FRACTION = 500, 0.2
 SYMBOLS = "#*$%&|<>"
+DOTS = rf"(\.\.\.|\x{{2026}}){SPACE_CLASS}*\z"
 
 
 def word_chars(text: Column) -> Column:
@@ -51,8 +54,8 @@ def n_repeat_words(words: Column) -> Column:
     """
 
     def hashed(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-        return F.when(F.size(words) < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+        window = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))
+        return F.when(F.size(words) < WINDOW, F.array().cast("array<bigint>")).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), window))
 
     def repeated(hashes: Column) -> Column:
         placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -72,62 +75,106 @@ def n_repeat_words(words: Column) -> Column:
     return let(hashed(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(repeated(h))).cast("long")
 
 
-#: Each feature from the text and its words; the words are split once for all features.
-FEATURES: dict[str, Callable[[Column, Column], Column]] = {
-    "n_words": lambda text, words: F.size(words).cast("long"),
-    "word_chars": lambda text, words: word_chars(text),
-    "n_symbols": lambda text, words: n_symbols(text),
-    "n_lines": lambda text, words: F.size(lines_of(text)).cast("long"),
-    "n_dup_lines": lambda text, words: n_dup_lines(text),
-    "n_repeat_words": lambda text, words: n_repeat_words(words),
+def n_letters(text: Column) -> Column:
+    """Code points that are letters or marks of letters."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}]", "")).cast("long")
+
+
+def n_dot_lines(text: Column) -> Column:
+    """Lines that end with an ellipsis."""
+    return F.size(F.filter(lines_of(text), lambda x: x.rlike(DOTS))).cast("long")
+
+
+@dataclass(frozen=True)
+class Feature:
+    """``value`` gets the text and its words, which are split once for all features; ``cost`` counts steps."""
+
+    value: Callable[[Column, Column], Column]
+    cost: Callable[[Column, Column], Column]
+
+
+#: The steps for a character or a word are how often a feature's expression visits or builds one.
+FEATURES: dict[str, Feature] = {
+    "n_words": Feature(lambda text, words: F.size(words).cast("long"), lambda chars, words: F.lit(1)),
+    "word_chars": Feature(lambda text, words: word_chars(text), lambda chars, words: 2 * chars),
+    "n_symbols": Feature(lambda text, words: n_symbols(text), lambda chars, words: 2 * chars),
+    "n_lines": Feature(lambda text, words: F.size(lines_of(text)).cast("long"), lambda chars, words: 2 * chars),
+    "n_dup_lines": Feature(lambda text, words: n_dup_lines(text), lambda chars, words: 3 * chars),
+    "n_repeat_words": Feature(lambda text, words: n_repeat_words(words), lambda chars, words: 4 * WINDOW * words),
+    "n_letters": Feature(lambda text, words: n_letters(text), lambda chars, words: 4 * chars),
+    "n_dot_lines": Feature(lambda text, words: n_dot_lines(text), lambda chars, words: 4 * chars),
 }
+#: What the query returns; the others are only computed where the cascade comes to their rules.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``reject`` gets a function from a feature's name to its column."""
+    """``reject`` gets a function from a feature's name to its column; ``needs`` names those features."""
 
     name: str
+    needs: tuple[str, ...]
     reject: Callable[[Callable[[str], Column]], Column]
 
 
 #: The first two are the base rules of the contract.
 RULES = (
-    Rule("too_short", lambda f: f("n_words") < 10),
-    Rule("repeats", lambda f: 100 * f("n_repeat_words") > 20 * f("n_words")),
-    Rule("word_length", lambda f: f("word_chars") > 20 * f("n_words")),
-    Rule("symbols", lambda f: 10 * f("n_symbols") > 3 * f("n_words")),
-    Rule("dup_lines", lambda f: 2 * f("n_dup_lines") > f("n_lines")),
+    Rule("too_short", ("n_words",), lambda f: f("n_words") < 10),
+    Rule("repeats", ("n_words", "n_repeat_words"), lambda f: 100 * f("n_repeat_words") > 20 * f("n_words")),
+    Rule("word_length", ("n_words", "word_chars"), lambda f: f("word_chars") > 20 * f("n_words")),
+    Rule("symbols", ("n_words", "n_symbols"), lambda f: 10 * f("n_symbols") > 3 * f("n_words")),
+    Rule("dup_lines", ("n_lines", "n_dup_lines"), lambda f: 2 * f("n_dup_lines") > f("n_lines")),
+    Rule("few_letters", ("word_chars", "n_letters"), lambda f: 2 * f("n_letters") < f("word_chars")),
+    Rule("cut_lines", ("n_lines", "n_dot_lines"), lambda f: 10 * f("n_dot_lines") > 3 * f("n_lines")),
 )
 BASE_RULES = ("too_short", "repeats")
 
 
 def _on(text: Column, body: Callable[[Callable[[str], Column]], Column]) -> Column:
     """``body`` of a function from a feature's name to its column."""
-    return let(words_of(text), lambda words: body(lambda name: FEATURES[name](text, words)))
+    return let(words_of(text), lambda words: body(lambda name: FEATURES[name].value(text, words)))
+
 
+def greedy(rejects: Sequence[Sequence[bool]], costs: Sequence[Sequence[float]]) -> list[int]:
+    """The order of rules, given a row for each document and in it a number for each rule.
+
+    Of equal rules the cheaper, then the first goes first; rules that reject nothing any more come last.
+    """
+    left, rows, out = list(range(len(rejects[0]) if rejects else 0)), list(range(len(rejects))), []
+    while left:
+        cost = {k: sum(costs[i][k] for i in rows) for k in left}
+        best = min(left, key=lambda k: (-sum(rejects[i][k] for i in rows) / max(cost[k], 1e-9), cost[k], k))
+        out.append(best)
+        left.remove(best)
+        rows = [i for i in rows if not rejects[i][best]]
+    return out
 
-def ordered(docs: DataFrame, text: Column, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per cost, both estimated on a sample of at most ``sample_rows`` rows.
+
+def ordered(docs: DataFrame, text: Column, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, have: Sequence[str] = ()) -> list[Rule]:
+    """The rules by rejections per cost on a sample of at most ``sample_rows`` rows; features in ``have`` are free.
 
     ``limit`` under ``collect`` reads partitions until it has the rows, so a large table isn't
-    scanned.  The second of two runs is timed, less the time of the same rows without a rule.
+    scanned; a flag and a number for each rule come to the driver.
     """
     sample = docs.where(F.rand(7) < SAMPLE_FRACTION)
+    chars = F.length(F.coalesce(text, F.lit(""))).cast("double")
+
+    def steps(rule: Rule, words: Column) -> Column:
+        total = F.lit(1.0)
+        for name in rule.needs:
+            if name not in have:
+                total = total + FEATURES[name].cost(chars, words)
+        return total
 
-    def run(column: Column) -> tuple[float, float]:
-        for _ in range(2):
-            began = time.perf_counter()
-            rows = sample.select(column.alias("x")).limit(sample_rows).collect()
-            took = time.perf_counter() - began
-        return took, sum(bool(r[0]) for r in rows) / max(1, len(rows))
+    def measured(words: Column) -> Column:
+        feature = lambda name: FEATURES[name].value(text, words)
+        size = F.size(words).cast("double")
+        return F.struct(F.array(*(rule.reject(feature) for rule in rules)).alias("rejects"), F.array(*(steps(rule, size) for rule in rules)).alias("costs"))
 
-    idle, _ = run(F.length(F.coalesce(text, F.lit(""))) < 0)
-    score = {}
-    for rule in rules:
-        took, rejected = run(_on(text, rule.reject))
-        score[rule.name] = rejected / max(took - idle, 1e-3)
-    return sorted(rules, key=lambda r: -score[r.name])
+    found = [r[0] for r in sample.select(let(words_of(text), measured)).limit(sample_rows).collect()]
+    if not found:
+        return list(rules)
+    return [rules[k] for k in greedy([r["rejects"] for r in found], [r["costs"] for r in found])]
 
 
 def first_failed(rules: Sequence[Rule], feature: Callable[[str], Column]) -> Column:
@@ -150,18 +197,23 @@ def cascade(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RUL
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Each row's id, every feature, ``base_failed`` and ``kept``.
+    """Each row's id, the ``REPORTED`` features, ``base_failed`` and ``kept``.
 
-    As every feature is asked for, each is computed once and the cascade runs over the values; base
-    rules come first, as the contract wants their outcome apart.  Null ids stay null.
+    The reported features are computed for every row, as they are asked for.  The base rules come
+    first, as the contract wants their outcome apart; the others follow in the order of the cascade,
+    those on reported features at next to no cost, and the features that only they need are computed
+    for the texts that got so far.  Null and empty texts, repeated rows and an empty table are treated
+    as in ``cascade``; null ids stay null; other columns aren't read.
     """
     text = F.col(f"`{text_col}`")
-    order = ordered(docs, text, rules, sample_rows)
+    later = [r for r in rules if r.name not in BASE_RULES]
+    order = ordered(docs, text, later, sample_rows, REPORTED)
     cut = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), words_of(text).alias("words"))
-    made = cut.select("doc_id", *(f(F.col("text"), F.col("words")).alias(name) for name, f in FEATURES.items()))
-    failed = first_failed([r for r in order if r.name in BASE_RULES], F.col)
-    rest = first_failed([r for r in order if r.name not in BASE_RULES], F.col)
-    return made.withColumn("base_failed", failed.isNotNull()).withColumn("kept", ~F.col("base_failed") & rest.isNull())
+    made = cut.select("doc_id", "text", "words", *(FEATURES[name].value(F.col("text"), F.col("words")).alias(name) for name in REPORTED))
+    feature = lambda name: F.col(name) if name in REPORTED else FEATURES[name].value(F.col("text"), F.col("words"))
+    base = first_failed([r for r in rules if r.name in BASE_RULES], feature).isNotNull()
+    kept = F.when(base, F.lit(False)).otherwise(first_failed(order, feature).isNull())
+    return made.select("doc_id", *REPORTED, base.alias("base_failed"), kept.alias("kept"))
 
 
 #: SQL for DuckDB that gives what the query gives.
@@ -178,10 +230,12 @@ c AS (SELECT k, count(DISTINCT i + j) AS n FROM r, (SELECT unnest(range(0, 5)) A
 f AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{SPACE_CLASS}', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
-         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+         length(regexp_replace(t, '[^\p{{L}}\p{{M}}]', '', 'g')) AS n_letters, len(list_filter(l, lambda x: regexp_matches(x, '{DOTS}'))) AS n_dot_lines
   FROM d LEFT JOIN c USING (k))
-SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+SELECT * EXCLUDE (n_letters, n_dot_lines), n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR word_chars > 20 * n_words
-            OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines) AS kept
+            OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines
+            OR 2 * n_letters < word_chars OR 10 * n_dot_lines > 3 * n_lines) AS kept
 FROM f
 """

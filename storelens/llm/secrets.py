@@ -1,15 +1,21 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Base spans come from three patterns.  Beyond them, every run of at least ``MIN_RUN`` encoding
-characters with a letter and a digit is a candidate; one that fits no alphabet, as in ``KEY=value``
-or ``dir/x-y``, is cut into its maximal pieces that do (these may overlap).  Its encoding is the smallest alphabet that
-fits.  Three tests ask whether it's random in that alphabet: chi-squared uniformity, runs about the
-middle of the alphabet, and lag-1 serial correlation; a candidate that fails any at ``GATE`` goes.
-A fourth number asks the opposite: the chance that ordinary text, whose characters coincide with
-probability ``ORDINARY``, has as few equal pairs of characters.  It's the p-value of the null
-hypothesis "not a secret".  Weighted step-up control (Benjamini-Hochberg, with weights that grow with
-the length and average 1 over all candidates) keeps the expected share of false spans at ``FDR``.
-Its threshold comes from a histogram of all p-values, of at most ``BINS`` counts.
+characters is a candidate; one that fits no alphabet, as in ``KEY=value`` or ``dir/x-y``, is cut into
+its maximal pieces that do (these may overlap).  Its encoding is the smallest alphabet that fits.  The
+battery asks two questions about a candidate in its alphabet.
+
+* Is it random?  Three tests answer, each with a p-value: chi-squared uniformity, runs about the middle
+  of the alphabet, lag-1 serial correlation.  Three times the least (at most 1) is the candidate's.
+* Is it ordinary text?  The same chi-squared statistic answers, by its other tail: the chance that it's
+  as small in text whose characters coincide with probability ``ORDINARY``.  (The statistic is a
+  multiple of the number of equal pairs of characters, less a constant, and that number is about
+  Poisson.)  A short candidate can't differ much from text, so this p-value is large for it.
+
+Each question is put to all candidates of all documents at once, with step-up control of the share of
+false discoveries (Benjamini-Hochberg) at ``FDR``, where p-values are divided by weights that grow with
+the length and average 1.  Candidates found to be not random go; of the others, those found to be not
+ordinary are spans.  Thresholds come from histograms of the p-values, of at most ``BINS`` counts.
 """
 
 from __future__ import annotations
@@ -17,11 +23,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm.common import slices, stored, text_buffer
@@ -31,7 +37,7 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_RUN = 6, 20, 24, 20
-GATE, FDR, ORDINARY = 1e-3, 0.01, {16: 0.1, 32: 0.0667, 62: 0.0667, 64: 0.0667}
+FDR, ORDINARY = 0.01, {10: 0.12, 16: 0.1, 32: 0.0667, 62: 0.0667, 64: 0.0667}
 BINS, BINS_PER_E = 4096, 8
 FULL_WEIGHT = 64
 
@@ -40,7 +46,7 @@ _IS_HEX[[*b"0123456789abcdef"]] = True
 _IS_CODE = np.zeros(256, bool)
 _IS_CODE[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-ALPHABETS = [_DIGITS + "abcdef", _DIGITS + "ABCDEF", _UPPER + "234567", _UPPER + _LOWER + _DIGITS, _UPPER + _LOWER + _DIGITS + "+/", _UPPER + _LOWER + _DIGITS + "-_"]
+ALPHABETS = [_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _UPPER + "234567", _UPPER + _LOWER + _DIGITS, _UPPER + _LOWER + _DIGITS + "+/", _UPPER + _LOWER + _DIGITS + "-_"]
 
 #: The two largest alphabets, which hold the others
 _FITS = [re.compile(rb"[A-Za-z0-9+/]+"), re.compile(rb"[A-Za-z0-9_-]+")]
@@ -113,20 +119,36 @@ def coincidence(x: np.ndarray, size: int) -> float:
     return min(0.0, top + math.log(sum(math.exp(t - top) for t in total)))
 
 
-def battery(token: str) -> tuple[float, bool] | None:
-    """(log p of "ordinary", whether the token passes as random); None if it's no candidate."""
+def battery(token: str) -> tuple[float, float] | None:
+    """Natural logs of the p-values of "ordinary text" and of "random"; None if it's no candidate."""
     token = token.rstrip("=")
-    if len(token) < MIN_RUN or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
+    if len(token) < MIN_RUN:
         return None
     for alphabet in ALPHABETS:
         if not set(token) - set(alphabet):
             x = np.array([alphabet.index(c) for c in token])
             size = len(alphabet)
-            random = min(chi_squared(x, size), runs_test(x, size), serial_test(x)) >= GATE
-            return coincidence(x, size), random
+            least = min(chi_squared(x, size), runs_test(x, size), serial_test(x))
+            return coincidence(x, size), min(0.0, math.log(max(3 * least, 1e-300)))
     return None
 
 
+def level(n: Column, logp: Column, mean: float) -> Column:
+    """Histogram bin of a p-value divided by its candidate's weight; higher bins are smaller values."""
+    weight = F.least(n, F.lit(FULL_WEIGHT)).cast("double") / F.lit(mean or 1.0)
+    return F.least(F.lit(BINS - 1), F.floor(F.greatest(F.lit(0.0), F.log(weight) - logp) * BINS_PER_E)).cast("int")
+
+
+def step_up(counts: dict[int, int], fdr: float) -> int:
+    """The lowest bin whose upper ends are discoveries, of a histogram of all tests; ``BINS`` if there's none."""
+    total, cut, above = sum(counts.values()), BINS, 0
+    for b in range(BINS - 1, -1, -1):
+        above += counts.get(b, 0)
+        if counts.get(b) and math.exp(-b / BINS_PER_E) * total <= fdr * above:
+            cut = b
+    return cut
+
+
 def pieces(run: bytes) -> list[tuple[int, int]]:
     """Where to test a run: all of it if it fits an alphabet, else its maximal pieces that do.
 
@@ -158,13 +180,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-SCAN_SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, base array<struct<a:int,k:int,b:int>>, found array<struct<a:int,b:int,n:int,logp:double,random:boolean>>"
+SCAN_SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, base array<struct<a:int,k:int,b:int>>, found array<struct<a:int,b:int,n:int,ordinary:double,random:double>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string())]
-        + [("base", pa.list_(pa.struct([(n, pa.int32()) for n in "akb"]))), ("found", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32()), ("logp", pa.float64()), ("random", pa.bool_())])))]
+        + [("base", pa.list_(pa.struct([(n, pa.int32()) for n in "akb"]))), ("found", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32()), ("ordinary", pa.float64()), ("random", pa.float64())])))]
     )
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
@@ -192,7 +214,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for a, b in ((a + x, a + y) for a, b in own[1][t] for x, y in pieces(raw[a:b])):
                     tested = battery(raw[a:b].decode("ascii"))
                     if tested and not any(x <= a and b <= y for x, _, y in base):
-                        found.append({"a": cp(a), "b": cp(b), "n": b - a, "logp": tested[0], "random": tested[1]})
+                        found.append({"a": cp(a), "b": cp(b), "n": b - a, "ordinary": tested[0], "random": tested[1]})
                 out.append(
                     {
                         "doc_id": ids[i + t],
@@ -208,21 +230,24 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, n_random, spans), a row for each row of ``docs``.
 
-    Null and empty texts have no spans; null ids stay null; an empty table returns no rows.
+    Null and empty texts have no spans; a text of any length is scanned whole; null ids stay null;
+    repeated rows are scanned and counted alike; an empty table returns no rows; other columns aren't
+    read.  Of equal p-values all or none are discoveries.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     scan = stored(rows.mapInArrow(_scan, SCAN_SCHEMA), "secrets")
     tests = scan.select(F.explode("found").alias("t")).select("t.*")
-    weigh = lambda n: F.least(n, F.lit(FULL_WEIGHT)).cast("double")
-    mean, total = tests.agg(F.avg(weigh(F.col("n"))), F.count("*")).first()
-    level = lambda n, logp: F.least(F.lit(BINS - 1), F.floor(F.greatest(F.lit(0.0), F.log(weigh(n) / F.lit(mean or 1.0)) - logp) * BINS_PER_E))
-    counts = dict(tests.where("random").groupBy(level(F.col("n"), F.col("logp")).alias("bin")).count().collect())
-    cut, above = BINS, 0
-    for b in range(BINS - 1, -1, -1):
-        above += counts.get(b, 0)
-        if counts.get(b) and math.exp(-b / BINS_PER_E) * total <= fdr * above:
-            cut = b
-    chosen = F.filter("found", lambda t: t["random"] & (level(t["n"], t["logp"]) >= cut))
+    size = F.least("n", F.lit(FULL_WEIGHT))
+
+    def question(asked: DataFrame, name: str) -> Callable:
+        """Whether a candidate is a discovery among those asked."""
+        mean = float(asked.agg(F.avg(size)).first()[0] or 1.0)
+        cut = step_up(dict(asked.groupBy(level(F.col("n"), F.col(name), mean)).count().collect()), fdr)
+        return lambda t: level(t["n"], t[name], mean) >= cut
+
+    patterned = question(tests, "random")
+    apart = question(tests.where(~patterned(tests)), "ordinary")
+    chosen = F.filter("found", lambda t: ~patterned(t) & apart(t))
     added = F.transform(chosen, lambda t: F.struct(t["a"].alias("a"), F.lit(3).alias("k"), t["b"].alias("b")))
     every = F.array_sort(F.concat("base", added))
     kind = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
