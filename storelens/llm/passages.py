@@ -6,13 +6,14 @@ A window is ``WINDOW`` consecutive words; it recurs when its word sequence start
    smallest hash is its anchor.  Equal windows have equal anchors, so a window can recur only if its
    anchor's hash occurs at two places.  Anchors are about a fourteenth of all positions.
 2. Confirmation.  Windows whose anchor recurs are counted by a 96-bit hash.
-3. Automata.  Each recurring window goes to one text that holds it, the one with the smallest id;
-   the windows of that text form one shard and are compiled into an Aho-Corasick automaton over
-   words.  Each text that holds a window of a shard is streamed through that shard's automaton,
-   which gives every occurrence, by words and not by hashes.  Texts of a shard are dealt into blocks
-   of bounded size, each with the shard's patterns, so a passage in many texts isn't one task.
-
-Texts with equal words count once from the start: every window of such a text recurs.
+3. Automata.  Each recurring window goes to the first place that holds it; ``SHARD_WINDOWS`` places of
+   a text are one shard, whose windows are compiled into an Aho-Corasick automaton over words.  The
+   part of each text that may hold windows of a shard is streamed through the shard's automaton,
+   which gives every occurrence, by words and not by hashes; nothing else removes a word.  Parts for a
+   shard are dealt into blocks of bounded number, each with the shard's patterns, so a passage in many
+   texts isn't one task, and neither a long text nor a common passage makes a large automaton.
+
+Texts with equal words are streamed once; every window of a text that occurs twice recurs.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import grouped, slices, stored, text_buffer
+from storelens.llm.common import CHUNK_BYTES, grouped, slices, stored, text_buffer
 from storelens.llm.textvec import OTHER_BASE, Words
 
 WINDOW, GRAM = 35, 8
+SHARD_WINDOWS = 4096
 BLOCK_TEXTS = 256
 _TOP = np.uint64(2**64 - 1)
 
@@ -42,11 +44,6 @@ def _sha(words: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(words)).digest()
 
 
-def _tid(sha: bytes) -> int:
-    """A 64-bit id of a word sequence."""
-    return int.from_bytes(sha[:8], "little", signed=True)
-
-
 def _slide(x: np.ndarray, width: int, best, pad) -> np.ndarray:
     """best of x[i], ..., x[i + width - 1]."""
     have, out = 1, x
@@ -71,12 +68,12 @@ def anchors(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nd
     return x, least, (top == x) & (top > 0)
 
 
-SCAN_SCHEMA = "doc_id bigint, hid bigint, tid bigint, n_words bigint, sha binary, anchors array<bigint>"
+SCAN_SCHEMA = "doc_id bigint, hid bigint, text_key binary, n_words bigint, sha binary, anchors array<bigint>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_buffer(batch.column(2))
+        data, offsets = text_buffer(batch.column(3))
         for i, j in slices(offsets):
             raw, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             shas = [_sha(_words(raw[a:b])) for a, b in zip(off[:-1], off[1:], strict=True)]
@@ -84,39 +81,31 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, _, chosen = anchors(words)
             ends = np.zeros(j - i + 1, np.int32)
             ends[1:] = np.cumsum(np.bincount(words.text[chosen], minlength=j - i))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(i, j - i),
-                    batch.column(1).slice(i, j - i),
-                    pa.array([_tid(s) for s in shas], pa.int64()),
-                    pa.array(words.counts, pa.int64()),
-                    pa.array(shas, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(x[chosen].view(np.int64))),
-                ],
-                ["doc_id", "hid", "tid", "n_words", "sha", "anchors"],
-            )
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(x[chosen].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array(words.counts, pa.int64()), pa.array(shas, pa.binary()), lists], ["doc_id", "hid", "text_key", "n_words", "sha", "anchors"])
 
 
-WINDOW_SCHEMA = "h bigint, g int, tid bigint, i int"
+WINDOW_SCHEMA = "h bigint, g int, tid bigint, i int, many boolean"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows whose anchor recurs, of (tid, text, anchors) rows."""
+    """Windows whose anchor recurs, of (tid, many, text, anchors) rows."""
     for batch in batches:
         tids = batch.column(0).to_numpy()
-        data, offsets = text_buffer(batch.column(1))
+        many = batch.column(1).to_numpy(zero_copy_only=False)
+        data, offsets = text_buffer(batch.column(2))
         for i, j in slices(offsets):
             words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             _, least, _ = anchors(words)
-            known = np.unique(batch.column(2).slice(i, j - i).flatten().to_numpy().view(np.uint64))
+            known = np.unique(batch.column(3).slice(i, j - i).flatten().to_numpy().view(np.uint64))
             at, h = words.runs(WINDOW)
             _, g = words.runs(WINDOW, base=OTHER_BASE)
             here = np.isin(least[at], known)
             at = at[here]
             text = words.text[at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[here].view(np.int64)), pa.array((g[here] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(tids[i:j][text]), pa.array((at - words.first[text]).astype(np.int32))],
-                ["h", "g", "tid", "i"],
+                [pa.array(h[here].view(np.int64)), pa.array((g[here] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(tids[i:j][text]), pa.array((at - words.first[text]).astype(np.int32)), pa.array(many[i:j][text])],
+                ["h", "g", "tid", "i", "many"],
             )
 
 
@@ -145,19 +134,45 @@ class Automaton:
         return out
 
 
+DEALT_SCHEMA = "shard bigint, part int, block int, kind int, tid bigint, low int, text string, at array<int>"
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of (tid, text, parts) rows for their shards; a shard's own text gives its patterns (kind 0)."""
+    schema = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("tid", pa.int64()), ("low", pa.int32()), ("text", pa.string()), ("at", pa.list_(pa.int32()))])
+    for batch in batches:
+        data, offsets = text_buffer(batch.column(1))
+        for k, tid in enumerate(batch.column(0).to_pylist()):
+            words = _words(data[offsets[k] : offsets[k + 1]])
+            out, size = [], 0
+            for p in batch.column(2)[k].as_py():
+                low = p["low"]
+                text = b" ".join(words[low : p["high"] + WINDOW]).decode("utf-8", "surrogateescape")
+                out.append((p["shard"], p["part"], p["block"], 1, tid, low, text, None))
+                size += len(text)
+                if tid == p["shard"]:
+                    at = [x - low for x in p["at"]]
+                    out += [(tid, p["part"], b, 0, tid, low, text, at) for b in range(p["blocks"])]
+                if size > CHUNK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
 FOUND_SCHEMA = "tid bigint, starts array<int>, ends array<int>"
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, block, kind): first the shard's patterns (kind 0), then its texts."""
-    for t in grouped(batches, ("shard", "block")):
+    """Rows sorted by (shard, part, block, kind): first the shard's patterns (kind 0), then parts of texts."""
+    for t in grouped(batches, ("shard", "part", "block")):
         data, offsets = text_buffer(t.column("text"))
         kinds = t.column("kind").to_pylist()
         texts = [_words(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         machine = Automaton(texts[0], t.column("at")[0].as_py())
-        rows = [(tid, machine.covered(w)) for tid, w, kind in zip(t.column("tid").to_pylist(), texts, kinds, strict=True) if kind]
+        rows = [(tid, low, machine.covered(w)) for tid, low, w, kind in zip(t.column("tid").to_pylist(), t.column("low").to_pylist(), texts, kinds, strict=True) if kind]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([[x for x, _ in r[1]] for r in rows], pa.list_(pa.int32())), pa.array([[x for _, x in r[1]] for r in rows], pa.list_(pa.int32()))],
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([[r[1] + x for x, _ in r[2]] for r in rows], pa.list_(pa.int32())), pa.array([[r[1] + x for _, x in r[2]] for r in rows], pa.list_(pa.int32()))],
             ["tid", "starts", "ends"],
         )
 
@@ -179,70 +194,64 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([dict(zip(("tid", "n_removed", "kept"), r, strict=True)) for r in out], pa.schema([("tid", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())]))
 
 
-def _right_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the id it should have (ids of documents may repeat)."""
-    for batch in batches:
-        data, offsets = text_buffer(batch.column(1))
-        tids = [_tid(_sha(_words(data[a:b]))) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield batch.filter(pa.array(np.array(tids, np.int64) == batch.column(0).to_numpy()))
-
+def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_texts: int = BLOCK_TEXTS, shard_windows: int = SHARD_WINDOWS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The scan of all rows; distinct texts; texts that may hold recurring windows; the word spans these cover.
 
-def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_texts: int = BLOCK_TEXTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The scan of all rows; texts with recurring windows; and the word spans these cover, by text id.
-
-    Spans are given for texts that occur once; all windows of other texts recur.
+    A text is named by ``tid``, a number that its place in the written table of distinct texts gives
+    it; texts are distinct by the SHA-256 of their words.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("hid"), "text")
-    scan = stored(rows.mapInArrow(_scan, SCAN_SCHEMA), "scan")
-    texts = stored(scan.groupBy("tid").agg(F.min("hid").alias("hid"), F.count("*").alias("copies")), "texts")
-
-    placed = scan.select("tid", "hid", "anchors").join(texts.select("tid", "hid"), ["tid", "hid"], "left_semi")
-    placed = stored(placed.select("tid", "hid", F.explode("anchors").alias("anchor")), "anchors")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"))
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("hid"), F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("text_key"), "text")
+    scan = rows.mapInArrow(_scan, SCAN_SCHEMA).withColumn("row", F.monotonically_increasing_id())
+    scan = stored(scan, "scan")
+    texts = scan.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    texts = stored(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
+
+    one = scan.select("row", "hid", "text_key", "anchors").join(texts.select("row", "tid", (F.col("copies") > 1).alias("many")), "row")
+    one = stored(one, "one")
+    placed = one.select("tid", "many", F.explode("anchors").alias("anchor"))
     # written before it's joined: a join of two shuffles can split a hot key, one with an aggregate can't
-    twice = stored(placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
-    wanted = placed.join(twice, "anchor").groupBy("tid", "hid").agg(F.collect_set("anchor").alias("anchors"))
-    chosen = wanted.join(rows.select("hid", "text"), "hid").select("tid", "text", "anchors")
-    chosen = stored(chosen.mapInArrow(_right_text, chosen.schema), "chosen")
+    twice = placed.groupBy("anchor").agg(F.count("*").alias("n"), F.max("many").alias("many")).where("n > 1 OR many").select("anchor")
+    twice = stored(twice, "twice")
+    wanted = placed.join(twice, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = stored(wanted.join(one.select("tid", "many", "hid", "text_key"), "tid"), "wanted")
+    chosen = wanted.join(rows.select("hid", "text_key", "text"), ["hid", "text_key"]).select("tid", "many", "text", "anchors")
+    chosen = stored(chosen.groupBy("tid").agg(*(F.first(c).alias(c) for c in ("many", "text", "anchors"))), "chosen")
 
     windows = stored(chosen.mapInArrow(_windows, WINDOW_SCHEMA), "windows")
-    place = F.xxhash64("tid", "i")
-    confirmed = windows.groupBy("h", "g").agg(F.min("tid").alias("shard"), F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("h", "g", "shard")
+    place = F.struct("tid", "i")
+    confirmed = windows.groupBy("h", "g").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("many").alias("many")).where("p <> q OR many")
+    confirmed = confirmed.select("h", "g", F.col("p.tid").alias("shard"), F.floor(F.col("p.i") / shard_windows).cast("int").alias("part"), F.col("p.i").alias("first"))
     confirmed = stored(confirmed, "confirmed")
-    held = stored(windows.join(confirmed, ["h", "g"]).select("shard", "tid", "i"), "held")
 
-    patterns = held.where("shard = tid").groupBy("shard").agg(F.sort_array(F.collect_set("i")).alias("at"))
-    members = held.select("shard", "tid").distinct().join(texts.where("copies = 1").select("tid"), "tid", "left_semi")
+    patterns = confirmed.groupBy("shard", "part").agg(F.sort_array(F.collect_set("first")).alias("at"))
+    members = windows.join(confirmed, ["h", "g"]).groupBy("shard", "part", "tid").agg(F.min("i").alias("low"), F.max("i").alias("high"))
     members = stored(members, "members")
-    blocks = members.groupBy("shard").agg(F.ceil(F.count("*") / block_texts).cast("int").alias("blocks"))
-    body = chosen.select("tid", "text").dropDuplicates(["tid"])
-    left = patterns.join(blocks, "shard").join(body.withColumnRenamed("tid", "shard"), "shard")
-    left = left.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("tid"), "text", "at")
-    right = members.join(blocks, "shard").join(body, "tid")
-    right = right.select("shard", F.pmod(F.xxhash64("tid"), "blocks").cast("int").alias("block"), F.lit(1).alias("kind"), "tid", "text", F.lit(None).cast("array<int>").alias("at"))
-    dealt = left.union(right).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
+    blocks = members.groupBy("shard", "part").agg(F.ceil(F.count("*") / block_texts).cast("int").alias("blocks"))
+    blocks = stored(blocks.join(patterns, ["shard", "part"]), "blocks")
+    own = F.when(F.col("shard") == F.col("tid"), F.col("at")).alias("at")  # patterns go with their own text
+    parts = members.join(blocks, ["shard", "part"]).select("tid", F.struct("shard", "part", F.pmod(F.xxhash64("tid"), "blocks").cast("int").alias("block"), "blocks", "low", "high", own).alias("p"))
+    parts = parts.groupBy("tid").agg(F.collect_list("p").alias("parts")).join(chosen.select("tid", "text"), "tid").select("tid", "text", "parts")
+    dealt = parts.mapInArrow(_deal, DEALT_SCHEMA).repartition("shard", "part", "block").sortWithinPartitions("shard", "part", "block", "kind")
     found = dealt.mapInArrow(_locate, FOUND_SCHEMA)
     spans = found.select("tid", F.explode(F.arrays_zip(F.col("starts").alias("a"), F.col("ends").alias("b"))).alias("span"))
-    return scan, chosen, stored(spans.groupBy("tid").agg(F.collect_list("span").alias("spans")), "spans")
+    return scan, texts, chosen, stored(spans.groupBy("tid").agg(F.collect_list("span").alias("spans")), "spans")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row, repeated windows taken out.
 
-    A null or blank text has no words; a text of fewer than 35 words has no window and stays whole.
-    Repeated rows are copies, whatever their ids; null ids stay null.  Other columns are not read.
+    A null or blank text has no words; a text of fewer than 35 words has no window and stays whole;
+    one of any length is searched whole.  Repeated rows are copies, whatever their ids; rows that
+    repeat an id with other texts are documents of their own; null ids stay null; an empty table gives
+    no rows.  Other columns are not read.
     """
-    scan, chosen, spans = located(docs, id_col, text_col)
-    cut = chosen.select("tid", "text").dropDuplicates(["tid"]).join(spans, "tid").mapInArrow(_cut, CUT_SCHEMA)
-    copies = scan.groupBy("tid").agg(F.count("*").alias("copies"))
-    made = scan.join(copies.join(cut, "tid", "left"), "tid")
-    whole = (F.col("copies") > 1) & (F.col("n_words") >= WINDOW)
-    return made.select(
-        "doc_id",
-        "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.lower(F.hex(F.coalesce("kept", "sha")))).alias("kept_sha256"),
-    )
+    scan, texts, chosen, spans = located(docs, id_col, text_col)
+    cut = chosen.select("tid", "text").join(spans, "tid").mapInArrow(_cut, CUT_SCHEMA)
+    cut = stored(cut.join(texts.select("tid", "sha"), "tid").select(F.col("sha").alias("s"), "n_removed", "kept"), "cut")
+    made = scan.join(cut, F.col("sha") == F.col("s"), "left")
+    return made.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.lower(F.hex(F.coalesce("kept", "sha"))).alias("kept_sha256"))
 
 
 SQL = r"""

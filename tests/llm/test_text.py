@@ -160,10 +160,11 @@ def brute_passages(rows):
 
 @pytest.mark.parametrize("block", [256, 2])
 def test_repeated_passages(make_docs, mixed_rows, block, monkeypatch):
-    monkeypatch.setattr(passages.located, "__defaults__", ("doc_id", "text", block))
+    monkeypatch.setattr(passages.located, "__defaults__", ("doc_id", "text", block, 4096 if block > 2 else 7))
     names = ("doc_id", "n_words", "n_removed", "kept_sha256")
-    docs = make_docs(mixed_rows)
-    assert collected(passages.without_repeats(docs), *names) == brute_passages(mixed_rows)
+    rows = mixed_rows + [(0, mixed_rows[5][1] + " other", "a"), (0, "quite another text " * 40, "a"), (None, mixed_rows[5][1], "a")] + [(None, "null copies " * 30 + "end", "b")] * 9
+    docs = make_docs(rows)
+    assert collected(passages.without_repeats(docs), *names) == brute_passages(rows)
     assert passages.without_repeats(docs.limit(0)).count() == 0
 
 
