@@ -250,9 +250,10 @@ def url_host(spark, sf_dir):
     return hosts.select(F.lit("line").alias("origin"), "host", "n").union(urls.select(F.lit("page").alias("origin"), "host", "n"))
 
 
-@query("SELECT doc_id, doc_id % 7 = 0 AS is_binary FROM documents")
+# a NUL takes the place of a letter: texts with that letter are binary
+@query("SELECT doc_id, position(chr(113) IN coalesce(text, '')) > 0 AS is_binary FROM documents")
 def binary_filter(spark, sf_dir):
-    text = F.when(F.col("doc_id") % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("\0"), F.lit("x"))).otherwise(F.coalesce("text", F.lit("")))
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("q"), F.lit("\0"))
     return table(spark, sf_dir, "documents").select("doc_id", lines.is_binary(text).alias("is_binary"))
 
 
@@ -573,7 +574,7 @@ def presence_by_version(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("commit")).agg(F.bool_or((F.col("l_partkey") <= 100) & (F.col("l_linenumber") == 1)).alias("present"))
 
 
-_PRESENCE_SQL = "SELECT DISTINCT l_partkey AS object, l_orderkey AS commit FROM lineitem WHERE l_linenumber = 1"
+_PRESENCE_SQL = "SELECT DISTINCT l_partkey AS object, l_orderkey AS commit FROM lineitem"
 
 
 @query(
@@ -583,77 +584,55 @@ d AS (SELECT h.object, arg_min(k.node, (k.ts, k.node)) AS deleted FROM has h JOI
 SELECT o.object, introduced, CASE WHEN o.object % 3 <> 0 THEN deleted END AS deleted FROM (SELECT DISTINCT object FROM has) o LEFT JOIN i USING (object) LEFT JOIN d USING (object)"""
 )
 def introduced_deleted(spark, sf_dir):
-    has = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("object"), F.col("l_orderkey").alias("commit")).distinct()
-    known = _commits(spark, sf_dir)
-    return history.introduced_deleted(has.join(known.select("commit", "ts"), "commit"), known, has.where("object % 3 = 0").select("object"))
-
-
-@query(SQL["introduced_deleted"].replace(_PRESENCE_SQL, "SELECT DISTINCT l_partkey AS object, l_orderkey AS commit FROM lineitem"))
-def introduced_deleted_whole(spark, sf_dir):
     has = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("object"), F.col("l_orderkey").alias("commit")).distinct()
     known = _commits(spark, sf_dir)
     return history.introduced_deleted(has.join(known.select("commit", "ts"), "commit"), known, has.where("object % 3 = 0").select("object"))
 
 
-_SIDE = "SELECT l_linenumber * 100 + l_orderkey % 97 AS path, min(l_partkey) AS blob FROM lineitem WHERE year(l_shipdate) = {} GROUP BY 1"
-
-
-def _side(spark, sf_dir, year: int) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == year).groupBy((F.col("l_linenumber") * 100 + F.col("l_orderkey") % 97).alias("path")).agg(F.min("l_partkey").alias("blob"))
-
-
-@query(f"SELECT coalesce(a.path, b.path) AS path, a.blob AS old, b.blob AS new FROM ({_SIDE.format(1996)}) a FULL JOIN ({_SIDE.format(1997)}) b ON a.path = b.path WHERE a.blob IS DISTINCT FROM b.blob")
-def snapshot_diff(spark, sf_dir):
-    return history.snapshot_diff(_side(spark, sf_dir, 1996), _side(spark, sf_dir, 1997))
-
-
-@query(f"SELECT coalesce(a.path, b.path) AS path, a.blob AS base, b.blob AS to, a.blob IS DISTINCT FROM b.blob AS changed FROM (SELECT * FROM ({_SIDE.format(1996)}) WHERE path = 105) a FULL JOIN (SELECT * FROM ({_SIDE.format(1997)}) WHERE path = 105) b ON a.path = b.path")
-def changed_flag(spark, sf_dir):
-    return history.changed_flag(_side(spark, sf_dir, 1996), _side(spark, sf_dir, 1997), 105)
-
-
-# whole snapshots: every lineitem has its own path on both sides; open ones move, accepted ones have another blob
+# snapshots: every lineitem has its own path on both sides; open ones move, accepted ones have another blob
 _OLD_FILES = "SELECT concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate::DATE) AS path, l_partkey AS blob FROM lineitem"
 _NEW_FILES = "SELECT concat(CASE WHEN l_linestatus = 'O' THEN 'm/' ELSE '' END, concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate::DATE)) AS path, CASE WHEN l_returnflag = 'A' THEN -l_suppkey ELSE l_partkey END AS blob FROM lineitem"
 
 
-@query(f"SELECT coalesce(a.path, b.path) AS path, a.blob AS old, b.blob AS new FROM ({_OLD_FILES}) a FULL JOIN ({_NEW_FILES}) b ON a.path = b.path WHERE a.blob IS DISTINCT FROM b.blob")
-def snapshot_diff_whole(spark, sf_dir):
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "lineitem")
     path = F.concat_ws("/", *(F.col(f"l_{c}").cast("string") for c in ("orderkey", "linenumber", "partkey", "suppkey")), F.col("l_shipdate").cast("date").cast("string"))
     moved = F.concat(F.when(F.col("l_linestatus") == "O", "m/").otherwise(""), path)
     blob = F.when(F.col("l_returnflag") == "A", -F.col("l_suppkey")).otherwise(F.col("l_partkey"))
-    return history.snapshot_diff(rows.select(path.alias("path"), F.col("l_partkey").alias("blob")), rows.select(moved.alias("path"), blob.alias("blob")))
+    return rows.select(path.alias("path"), F.col("l_partkey").alias("blob")), rows.select(moved.alias("path"), blob.alias("blob"))
+
+
+@query(f"SELECT coalesce(a.path, b.path) AS path, a.blob AS old, b.blob AS new FROM ({_OLD_FILES}) a FULL JOIN ({_NEW_FILES}) b ON a.path = b.path WHERE a.blob IS DISTINCT FROM b.blob")
+def snapshot_diff(spark, sf_dir):
+    return history.snapshot_diff(*_snapshots(spark, sf_dir))
+
+
+@query(f"SELECT a.path, a.blob AS base, b.blob AS to, a.blob IS DISTINCT FROM b.blob AS changed FROM (SELECT * FROM ({_OLD_FILES}) WHERE path = (SELECT max(path) FROM ({_NEW_FILES}) WHERE blob < 0 AND path NOT LIKE 'm/%')) a LEFT JOIN ({_NEW_FILES}) b ON a.path = b.path")
+def changed_flag(spark, sf_dir):
+    """Whether one path changed: the last one of the accepted files that stayed in place."""
+    old, new = _snapshots(spark, sf_dir)
+    path = new.where("blob < 0 AND NOT startswith(path, 'm/')").agg(F.max("path")).first()[0]
+    return history.changed_flag(old, new, path)
 
 
 # --- scores --------------------------------------------------------------------------------------
 
 
-def _source_lines(spark, sf_dir, source: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.col("source") == source)
+def _half_lines(spark, sf_dir, half: int) -> DataFrame:
+    """Lines of all documents with even ids, or with odd ones."""
+    rows = table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == half)
     return rows.select(F.explode(lines.lines_of(F.coalesce("text", F.lit("")))).alias("line")).where("line <> ''")
 
 
-_SOURCE_LINES_SQL = "SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE source = '{}'"
+_HALF_LINES_SQL = "SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE doc_id % 2 = {}"
 
 
 @query(
-    f"WITH a AS (SELECT line, count(*) AS n FROM ({_SOURCE_LINES_SQL.format('src1')}) WHERE line <> '' GROUP BY 1), b AS (SELECT line, count(*) AS n FROM ({_SOURCE_LINES_SQL.format('src7')}) WHERE line <> '' GROUP BY 1), "
+    f"WITH a AS (SELECT line, count(*) AS n FROM ({_HALF_LINES_SQL.format(0)}) WHERE line <> '' GROUP BY 1), b AS (SELECT line, count(*) AS n FROM ({_HALF_LINES_SQL.format(1)}) WHERE line <> '' GROUP BY 1), "
     "j AS (SELECT coalesce(a.line, b.line) AS line, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS added, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS removed FROM a FULL JOIN b ON a.line = b.line) SELECT line, added, removed FROM j WHERE added > 0 OR removed > 0"
 )
 def multiset_diff(spark, sf_dir):
-    return history.multiset_diff(_source_lines(spark, sf_dir, "src1"), _source_lines(spark, sf_dir, "src7"), ["line"])
-
-
-# all documents, those with even ids against those with odd ones
-_HALF_LINES_SQL = "SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE doc_id % 2 = {}"
-
-
-@query(SQL["multiset_diff"].replace(_SOURCE_LINES_SQL.format("src1"), _HALF_LINES_SQL.format(0)).replace(_SOURCE_LINES_SQL.format("src7"), _HALF_LINES_SQL.format(1)))
-def multiset_diff_whole(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    half = lambda k: docs.where(F.col("doc_id") % 2 == k).select(F.explode(lines.lines_of(F.coalesce("text", F.lit("")))).alias("line")).where("line <> ''")
-    return history.multiset_diff(half(0), half(1), ["line"])
+    return history.multiset_diff(_half_lines(spark, sf_dir, 0), _half_lines(spark, sf_dir, 1), ["line"])
 
 
 # SQL and Terraform texts, put before each document's text
@@ -693,23 +672,12 @@ def domain_points(spark, sf_dir):
 
 
 _TF_TEXT = (
-    ('resource "a" "b" {\n  count = 2\n  x = y ? 1 : 2\n}\n# resource "c" {', (1, 0, 0, 0, 0, 1, 0, 1)),
-    ('/* resource "a" {\n*/ module "m" {\n  for_each = z /* c */ ? d\n  depends_on = [q]\n}', (0, 0, 1, 0, 0, 1, 1, 0)),
-    ('data "x" "y" {} /* open\nresource "n" {\n*/\nprovider "p" {\n  dynamic "d" {\n//data "z"\n', (0, 1, 0, 1, 1, 0, 0, 0)),
+    'resource "a" "b" {\n  count = 2\n  x = y ? 1 : 2\n}\n# resource "c" {',
+    '/* resource "a" {\n*/ module "m" {\n  for_each = z /* c */ ? d\n  depends_on = [q]\n}',
+    'data "x" "y" {} /* open\nresource "n" {\n*/\nprovider "p" {\n  dynamic "d" {\n//data "z"\n',
 )
 
 
-@query(
-    f"WITH v AS (SELECT [{', '.join(str(list(c)) for _, c in _TF_TEXT)}] AS n) SELECT doc_id, "
-    + ", ".join(f"n[(doc_id % {len(_TF_TEXT)})::INT + 1][{k + 1}]::BIGINT AS {name}" for k, name in enumerate(constructs.TERRAFORM))
-    + " FROM documents, v"
-)
-def terraform_counts(spark, sf_dir):
-    text = F.element_at(F.array(*(F.lit(t) for t, _ in _TF_TEXT)), (F.col("doc_id") % len(_TF_TEXT) + 1).cast("int"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".tf")).alias("path"), text.alias("text"))
-    return scoring.with_constructs(docs).select("doc_id", *constructs.TERRAFORM)
-
-
 _FILE_SQL = f"""{LINES_SQL},
 f AS (SELECT doc_id, path, source, {_EXCLUDED_SQL} AS ex, {_SOURCE_SQL} AS src, {_MANIFEST_SQL} AS man, {_UI_SQL} AS ui, ends_with(path, '.tf') AS tf, ends_with(path, '.sql') AS sq FROM code),
 l AS (SELECT c.doc_id, c.line, NOT f.tf AND NOT f.sq AS plain FROM code_lines c JOIN f USING (doc_id) WHERE NOT ex AND src),
@@ -745,45 +713,34 @@ def complexity_score(spark, sf_dir):
 
 
 @query(
-    f"{_SCORE_SQL} SELECT b.total_points, b.size_points, b.structural_points, b.domain_points, "
+    f"{_SCORE_SQL} SELECT b.total_points, b.size_points, b.structural_points, b.domain_points, ".replace("code AS (SELECT doc_id, source,", "code AS (SELECT doc_id, doc_id % 2 AS source,")
     + ", ".join(f"a.{n} AS base_{n}, b.{n} - a.{n} AS delta_{n}" for n in ("total_points", "size_points", "structural_points", "domain_points"))
-    + " FROM q a, q b WHERE a.source = 'src1' AND b.source = 'src7'"
+    + " FROM q a, q b WHERE a.source = 0 AND b.source = 1"
 )
 def complexity_delta(spark, sf_dir):
-    docs = code_docs(spark, sf_dir)
-    return scoring.complexity_delta(docs.where("source = 'src1'"), docs.where("source = 'src7'"))
-
-
-@query(SQL["complexity_delta"].replace("code AS (SELECT doc_id, source,", "code AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'src1' ELSE 'src7' END AS source,"))
-def complexity_delta_whole(spark, sf_dir):
+    """All documents: those with even ids are the base, those with odd ones the other snapshot."""
     docs = code_docs(spark, sf_dir)
     return scoring.complexity_delta(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"))
 
 
-_GO_MODS = (("module example.com/a\ngo 1.20", "example.com/a/"), ("// x\n \tmodule  b/c \r\n", "b/c/"), ("go 1.20", None), ("module \nmodule d", "d/"), ("xmodule e", None))
+# every document as a go.mod file: lines that name a module, or nearly, with the document's source, then its text
+_GO_HEADS = ("module example.com/{}\ngo 1.20\n", "// x\n \tmodule  b/{} \r\n", "go 1.20 {}\n", "module \nmodule d{}\nmodule e\n", "xmodule {}\n")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, {'NULL' if p is None else chr(39) + p + chr(39)})" for k, (_, p) in enumerate(_GO_MODS)) + ") t(id, prefix)")
+@query(
+    f"""WITH d AS (SELECT doc_id, concat(replace([{', '.join("'" + h + "'" for h in _GO_HEADS)}][(doc_id % {len(_GO_HEADS)})::INT + 1], '{{}}', coalesce(source, '')), coalesce(text, '')) AS t FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM d),
+m AS (SELECT doc_id, i, trim(substr(x, 8), ' ' || chr(9) || chr(13)) AS name FROM (SELECT doc_id, i, ltrim(line, ' ' || chr(9) || chr(13)) AS x FROM l) WHERE starts_with(x, 'module '))
+SELECT doc_id, (SELECT arg_min(concat(name, '/'), i) FROM m WHERE m.doc_id = d.doc_id AND name <> '') AS prefix FROM d"""
+)
 def complexity_go_prefix(spark, sf_dir):
-    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(_GO_MODS)], "id bigint, text string")
-    return rows.select("id", scoring.go_module_prefix(F.col("text")).alias("prefix"))
-
-
-# a change: documents whose id is divisible by 3 are old, by 4 new; paths are shared by 40 ids
-def _change_side(spark, sf_dir, n: int) -> DataFrame:
-    rows = code_docs(spark, sf_dir).where(F.col("doc_id") % n == 0)
-    slot = F.col("doc_id") % 40
-    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (slot % len(_KINDS) + 1).cast("int"))
-    keyed = rows.select(F.concat(F.lit("q/"), slot.cast("string"), F.lit("/"), kind).alias("path"), "doc_id", "text")
-    return keyed.groupBy("path").agg(F.min_by("text", "doc_id").alias("text"))
-
+    head = F.element_at(F.array(*map(F.lit, _GO_HEADS)), (F.col("doc_id") % len(_GO_HEADS) + 1).cast("int"))
+    text = F.concat(F.replace(head, F.lit("{}"), F.coalesce("source", F.lit(""))), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", scoring.go_module_prefix(text).alias("prefix"))
 
-def _change_sql(n: int) -> str:
-    return f"SELECT concat('q/', doc_id % 40, '/', [{', '.join(repr(k) for k in _KINDS)}][((doc_id % 40) % {len(_KINDS)})::INT + 1]) AS path, arg_min(text, doc_id) AS text FROM code WHERE doc_id % {n} = 0 GROUP BY 1"
 
-
-_CHANGE_SQL = f"""WITH {CODE_SQL}, a AS ({_change_sql(3)}), b AS ({_change_sql(4)}),
-ch0 AS (SELECT coalesce(a.path, b.path) AS path, a.text AS old_text, b.text AS new_text, a.path IS NULL AS is_new FROM a FULL JOIN b ON a.path = b.path WHERE a.text IS DISTINCT FROM b.text),
+# from the changed files on; ``a`` and ``b`` are the two sides
+_CHANGE_SQL = f"""ch0 AS (SELECT coalesce(a.path, b.path) AS path, a.text AS old_text, b.text AS new_text, a.path IS NULL AS is_new FROM a FULL JOIN b ON a.path = b.path WHERE a.text IS DISTINCT FROM b.text),
 ch AS (SELECT *, {_SOURCE_SQL} AND NOT {_EXCLUDED_SQL} AS scored, {_MANIFEST_SQL} AS man, {_UI_SQL} AS ui, ends_with(path, '.tf') OR ends_with(path, '.sql') AS dom FROM ch0),
 ol AS (SELECT path, line, count(*) AS n FROM (SELECT path, unnest(string_split(coalesce(old_text, ''), chr(10))) AS line FROM ch WHERE scored) WHERE line <> '' GROUP BY ALL),
 nl AS (SELECT path, line, count(*) AS n FROM (SELECT path, unnest(string_split(coalesce(new_text, ''), chr(10))) AS line FROM ch WHERE scored) WHERE line <> '' GROUP BY ALL),
@@ -797,34 +754,10 @@ ct AS (SELECT count(*) AS files, count(*) FILTER (man) AS dependency_changes, co
 _SIGNALS = ("files", "excluded_files", "added_lines", "removed_lines", "added_branches", "dependency_changes", "new_ui_components", "changed_shared_ui_components", "internal_imports", "reused_ui_components", "external_integrations", "crypto_signals", "algorithm_signals")
 
 
-@query(f"{_CHANGE_SQL} SELECT {', '.join(_SIGNALS)} FROM sg, ct")
-def pr_signals(spark, sf_dir):
-    return scoring.change_score(_change_side(spark, sf_dir, 3), _change_side(spark, sf_dir, 4)).select(*_SIGNALS)
-
-
 _WITHOUT_DOMAIN = " + ".join(f"{w} * {c}" for c, w in scoring.CHANGE_POINTS.items())
 
 
-@query(f"{_CHANGE_SQL} SELECT (added_lines + removed_lines + 4 * added_branches + 3 * (files - excluded_files))::BIGINT AS work_points, ({_WITHOUT_DOMAIN})::BIGINT AS plain_points FROM sg, ct")
-def pr_score(spark, sf_dir):
-    made = scoring.change_score(_change_side(spark, sf_dir, 3), _change_side(spark, sf_dir, 4))
-    return made.select("work_points", (F.col("complexity_points") - F.col("domain_points")).alias("plain_points"))
-
-
-@query(
-    f"""{_CHANGE_SQL}, ev AS (
-  SELECT 'dependency_manifest' AS dimension, path, '' AS line FROM ch WHERE man UNION ALL SELECT 'new_ui_component', path, '' FROM ch WHERE ui AND is_new UNION ALL SELECT 'shared_ui_component', path, '' FROM ch WHERE ui AND NOT is_new UNION ALL
-  SELECT 'internal_import', min(path), line FROM ad WHERE plain AND added > 0 AND {_CHANGE_LOCAL_SQL} GROUP BY line UNION ALL
-  SELECT 'ui_reuse', path, line FROM (SELECT path, line, unnest(range(added)) FROM ad WHERE plain AND {_IMPORT_SQL} AND {_sql_any("contains(line, '{}')", paths.UI_FOLDERS)}) UNION ALL
-  SELECT 'external_endpoint', x.path, x.line FROM (SELECT min((path, line)) AS m FROM ad WHERE plain AND added > 0 AND {_HOST_SQL} IS NOT NULL GROUP BY {_HOST_SQL}), LATERAL (SELECT m[1] AS path, m[2] AS line) x UNION ALL
-  SELECT 'crypto', path, min(line) FROM ad WHERE plain AND added > 0 AND {_CRYPTO_SQL} GROUP BY path UNION ALL SELECT 'algorithm', path, min(line) FROM ad WHERE plain AND added > 0 AND {_ALGORITHM_SQL} GROUP BY path)
-SELECT dimension, path FROM (SELECT * FROM ev ORDER BY path, dimension, line LIMIT 64)"""
-)
-def evidence_cap(spark, sf_dir):
-    return scoring.change_evidence(_change_side(spark, sf_dir, 3), _change_side(spark, sf_dir, 4)).select("dimension", "path")
-
-
-# a whole change: both sides hold every document under its own path; on the new side most texts are edited, some paths moved
+# a change: both sides hold every document under its own path; on the new side most texts are edited, some paths moved
 _EDITS = ('import { B } from "./components/B";\nif (x) { verify(sha256(y)) }', 'fetch("https://api.example.org/v1")\nfor (;;) {}', 'import x from "../lib/x"\nwhile (a) { sort(b) }')
 _SQL_EDIT = "create table a (b int references c);\nwith x as (select 1) select * from t join u union all select 2"
 _TF_EDIT = 'resource "a" "b" {\n  count = 2\n  x = y ? 1 : 2\n}'
@@ -856,10 +789,9 @@ tfn AS (SELECT k, {counts} FROM (SELECT *, NOT starts_with(x, '#') AND NOT start
 
 
 _EDIT_SQL = f"CASE WHEN ends_with(path, '.sql') THEN {_quoted(_SQL_EDIT)} WHEN ends_with(path, '.tf') THEN {_quoted(_TF_EDIT)} ELSE [{', '.join(map(_quoted, _EDITS))}][(doc_id % {len(_EDITS)})::INT + 1] END"
-# from the changed files on as above
 _WHOLE_CHANGE_SQL = f"""WITH {CODE_SQL}, a AS (SELECT path, text FROM code),
 b AS (SELECT CASE WHEN doc_id % 7 = 0 THEN concat('m/', path) ELSE path END AS path, CASE WHEN doc_id % 4 = 0 THEN text ELSE concat_ws(chr(10), {_EDIT_SQL}, text) END AS text FROM code),
-{_CHANGE_SQL.partition(chr(10))[2]},
+{_CHANGE_SQL},
 dx AS (SELECT concat(side, path) AS k, path, side, t FROM (SELECT path, 'o' AS side, coalesce(old_text, '') AS t FROM ch WHERE scored AND dom UNION ALL SELECT path, 'n', coalesce(new_text, '') FROM ch WHERE scored AND dom)),
 tx AS (SELECT k, t FROM dx WHERE ends_with(path, '.tf')), {_terraform_sql('tx')},
 dtok AS (SELECT k, unnest(w) AS t, unnest(range(len(w))) AS i FROM (SELECT k, list_filter(regexp_split_to_array(translate(regexp_replace(t, '--[^\\n]*|/\\*[\\s\\S]*?(\\*/|\\z)|''(''''|[^''])*''?|"(""|[^"])*"?', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\n(){{}};,.\\[\\]]+'), lambda x: x <> '') AS w FROM dx WHERE ends_with(path, '.sql'))),
@@ -871,7 +803,7 @@ dp AS (SELECT path, {" + ".join(f"{w} * {c}" for c, w in constructs.POINTS.items
 
 
 @query(f"{_WHOLE_CHANGE_SQL} SELECT {', '.join(_SIGNALS)} FROM sg, ct")
-def pr_signals_whole(spark, sf_dir):
+def pr_signals(spark, sf_dir):
     return scoring.change_score(*_whole_change(spark, sf_dir)).select(*_SIGNALS)
 
 
@@ -879,35 +811,59 @@ def pr_signals_whole(spark, sf_dir):
     f"""{_WHOLE_CHANGE_SQL}, s AS (SELECT (added_lines + removed_lines + 4 * added_branches + 3 * (files - excluded_files))::BIGINT AS work_points, ({_WITHOUT_DOMAIN})::BIGINT AS plain_points, (SELECT coalesce(sum(points), 0) FROM dp)::BIGINT AS domain_points FROM sg, ct)
 SELECT work_points, domain_points, plain_points + domain_points AS complexity_points, work_points + plain_points + domain_points AS total_points FROM s"""
 )
-def pr_score_whole(spark, sf_dir):
+def pr_score(spark, sf_dir):
     return scoring.change_score(*_whole_change(spark, sf_dir)).select("work_points", "domain_points", "complexity_points", "total_points")
 
 
-@query(
-    _WHOLE_CHANGE_SQL
-    + SQL["evidence_cap"][len(_CHANGE_SQL) :].replace(" GROUP BY path)\nSELECT", " GROUP BY path UNION ALL SELECT CASE WHEN ends_with(path, '.tf') THEN 'terraform' ELSE 'sql' END, path, '' FROM dp WHERE points > 0)\nSELECT").replace(" ORDER BY path, dimension, line LIMIT 64", "")
-)
-def evidence_whole(spark, sf_dir):
-    return scoring.change_evidence(*_whole_change(spark, sf_dir), limit=None).select("dimension", "path")
+_EVIDENCE_SQL = f"""{_WHOLE_CHANGE_SQL}, ev AS (
+  SELECT 'dependency_manifest' AS dimension, path, '' AS line FROM ch WHERE man UNION ALL SELECT 'new_ui_component', path, '' FROM ch WHERE ui AND is_new UNION ALL SELECT 'shared_ui_component', path, '' FROM ch WHERE ui AND NOT is_new UNION ALL
+  SELECT 'internal_import', min(path), line FROM ad WHERE plain AND added > 0 AND {_CHANGE_LOCAL_SQL} GROUP BY line UNION ALL
+  SELECT 'ui_reuse', path, line FROM (SELECT path, line, unnest(range(added)) FROM ad WHERE plain AND {_IMPORT_SQL} AND {_sql_any("contains(line, '{}')", paths.UI_FOLDERS)}) UNION ALL
+  SELECT 'external_endpoint', x.path, x.line FROM (SELECT min((path, line)) AS m FROM ad WHERE plain AND added > 0 AND {_HOST_SQL} IS NOT NULL GROUP BY {_HOST_SQL}), LATERAL (SELECT m[1] AS path, m[2] AS line) x UNION ALL
+  SELECT 'crypto', path, min(line) FROM ad WHERE plain AND added > 0 AND {_CRYPTO_SQL} GROUP BY path UNION ALL SELECT 'algorithm', path, min(line) FROM ad WHERE plain AND added > 0 AND {_ALGORITHM_SQL} GROUP BY path UNION ALL
+  SELECT CASE WHEN ends_with(path, '.tf') THEN 'terraform' ELSE 'sql' END, path, '' FROM dp WHERE points > 0)"""
+_DETAIL_SQL = "CASE dimension " + " ".join(f"WHEN '{dimension}' THEN '{detail}'" for dimension, detail in scoring.EVIDENCE.items()) + " END AS detail"
 
 
-@query(f"WITH tx AS (SELECT doc_id AS k, concat_ws(chr(10), [{', '.join(_quoted(t) for t, _ in _TF_TEXT)}][(doc_id % {len(_TF_TEXT)})::INT + 1], coalesce(text, '')) AS t FROM documents), {_terraform_sql('tx')} SELECT k AS doc_id, {', '.join(constructs.TERRAFORM)} FROM tfn")
-def terraform_counts_whole(spark, sf_dir):
-    head = F.element_at(F.array(*(F.lit(t) for t, _ in _TF_TEXT)), (F.col("doc_id") % len(_TF_TEXT) + 1).cast("int"))
+@query(f"{_EVIDENCE_SQL} SELECT dimension, path, {_DETAIL_SQL} FROM (SELECT * FROM ev ORDER BY path, dimension, line LIMIT {scoring.EVIDENCE_LIMIT})")
+def evidence_cap(spark, sf_dir):
+    """The first ones, as many as a report lists."""
+    return scoring.change_evidence(*_whole_change(spark, sf_dir))
+
+
+@query(f"{_EVIDENCE_SQL} SELECT dimension, path, {_DETAIL_SQL} FROM ev")
+def evidence_all(spark, sf_dir):
+    return scoring.change_evidence(*_whole_change(spark, sf_dir), limit=None)
+
+
+@query(f"WITH tx AS (SELECT doc_id AS k, concat_ws(chr(10), [{', '.join(map(_quoted, _TF_TEXT))}][(doc_id % {len(_TF_TEXT)})::INT + 1], coalesce(text, '')) AS t FROM documents), {_terraform_sql('tx')} SELECT k AS doc_id, {', '.join(constructs.TERRAFORM)} FROM tfn")
+def terraform_counts(spark, sf_dir):
+    head = F.element_at(F.array(*map(F.lit, _TF_TEXT)), (F.col("doc_id") % len(_TF_TEXT) + 1).cast("int"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".tf")).alias("path"), F.concat_ws("\n", head, F.coalesce("text", F.lit(""))).alias("text"))
     return scoring.with_constructs(docs).select("doc_id", *constructs.TERRAFORM)
 
 
-_RECORDS = (
-    ("pr_id\tmerged_at\tstage\tbase\tto", None), ("1\t2024\tpre\tmain\tdev", ""), ("# note", None), ("", None), ("2\t2024\tmid\tmain\tdev", "stage must be pre or post"), ("3\t2024\tpost\tmain", "needs five tab-separated columns"),
-    ("4\t2024\tpost\tmain\tdev\tx", "invalid record"), ("\t2024\tpost\tmain\tdev", "invalid record"), (" 5\t2024\tpost\tmain\tdev\r", ""),
-)
+# change records from all events: valid ones, and ones that are wrong in each way; line 1 is a header
+_RECORD_SQL = """[concat('pr', event_id, chr(9), ts::DATE, chr(9), 'pre', chr(9), 'main', chr(9), event_type), concat('# ', event_type), '', concat(event_id, chr(9), 't', chr(9), event_type, chr(9), 'main', chr(9), 'dev'),
+  concat(event_id, chr(9), 't', chr(9), 'post', chr(9), 'main'), concat(event_id, chr(9), 't', chr(9), 'post', chr(9), 'main', chr(9), 'dev', chr(9), 'x'), concat(chr(9), 't', chr(9), 'post', chr(9), 'main', chr(9), 'dev'), concat(' ', event_id, chr(9), 't', chr(9), 'post', chr(9), 'main', chr(9), 'dev', chr(13))][(event_id % 8)::INT + 1]"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k + 1}::BIGINT, {'NULL' if not p else chr(39) + p + chr(39)})" for k, (_, p) in enumerate(_RECORDS) if p is not None) + ") t(line_no, problem)")
+@query(
+    f"""WITH r AS (SELECT event_id + 2 AS line_no, {_RECORD_SQL} AS line FROM events UNION ALL SELECT 1, concat_ws(chr(9), 'pr_id', 'merged_at', 'stage', 'base', 'to')),
+t AS (SELECT line_no, string_split(trim(line, ' ' || chr(13)), chr(9)) AS c FROM r WHERE trim(line, ' ' || chr(13)) <> '' AND NOT starts_with(trim(line, ' ' || chr(13)), '#'))
+SELECT line_no, c[1] AS pr_id, c[3] AS stage, CASE WHEN len(c) < 5 THEN 'needs five tab-separated columns' WHEN len(c) > 5 OR c[1] = '' OR c[2] = '' OR c[4] = '' OR c[5] = '' THEN 'invalid record' WHEN c[3] NOT IN ('pre', 'post') THEN 'stage must be pre or post' END AS problem
+FROM t WHERE NOT (line_no = 1 AND c[1] = 'pr_id' AND len(c) = 5)"""
+)
 def tsv_batch_validate(spark, sf_dir):
-    rows = spark.createDataFrame([(k + 1, t) for k, (t, _) in enumerate(_RECORDS)], "line_no bigint, line string")
-    return scoring.change_records(rows).select("line_no", "problem")
+    number, day = F.col("event_id").cast("string"), F.col("ts").cast("date").cast("string")
+    row = lambda *parts: F.concat_ws("\t", *(F.lit(x) if isinstance(x, str) else x for x in parts))
+    texts = [
+        row(F.concat(F.lit("pr"), number), day, "pre", "main", F.col("event_type")), F.concat(F.lit("# "), "event_type"), F.lit(""), row(number, "t", F.col("event_type"), "main", "dev"),
+        row(number, "t", "post", "main"), row(number, "t", "post", "main", "dev", "x"), row("", "t", "post", "main", "dev"), F.concat(F.lit(" "), row(number, "t", "post", "main", "dev"), F.lit("\r")),
+    ]
+    rows = table(spark, sf_dir, "events").select((F.col("event_id") + 2).alias("line_no"), F.element_at(F.array(*texts), (F.col("event_id") % len(texts) + 1).cast("int")).alias("line"))
+    head = spark.createDataFrame([(1, "\t".join(scoring.RECORD_COLUMNS))], "line_no bigint, line string")
+    return scoring.change_records(rows.union(head)).select("line_no", "pr_id", "stage", "problem")
 
 
 # --- reports -------------------------------------------------------------------------------------

@@ -15,6 +15,21 @@ SNAPSHOT_POINTS = {"branch_lines": 4, "source_files": 3, "internal_imports": 6,
 CHANGE_POINTS = {"internal_imports": 6, "external_integrations": 12, "dependency_changes": 4, "new_ui_components": 6, "changed_shared_ui_components": 6, "crypto_signals": 10, "algorithm_signals": 8}
 
 
+# What evidence of each dimension says.
+EVIDENCE = {
+    "dependency_manifest": "manifest changed; new dependency not confirmed",
+    "new_ui_component": "new component file",
+    "shared_ui_component": "component file changed; consumer reach unknown",
+    "internal_import": "new relative import",
+    "ui_reuse": "component import added",
+    "external_endpoint": "new URL host (review whether partner integration)",
+    "crypto": "keyword signal; reviewer confirmation required",
+    "algorithm": "keyword signal; reviewer confirmation required",
+    "terraform": "new observable infrastructure/database constructs",
+    "sql": "new observable infrastructure/database constructs",
+}
+
+
 def go_module_prefix(go_mod: Column) -> Column:
     """``module/`` of the first module line of a go.mod text; null if there is none."""
     found = F.regexp_extract(go_mod, r"(?m)^[ \t\r]*module [ \t]*([^ \t\r\n](?:[^\r\n]*[^ \t\r\n])?)[ \t\r]*$", 1)
@@ -147,22 +162,21 @@ def change_evidence(before: DataFrame, after: DataFrame, limit: int | None = EVI
     line = F.col("line")
     first_of = lambda df, key: df.groupBy(key).agg(F.min(F.struct("path", "line")).alias("f")).select(F.col("f.path").alias("path"), F.col("f.line").alias("line"))
     parts = [
-        (files.where(paths.is_manifest(path)), "dependency_manifest", "manifest changed; new dependency not confirmed"),
-        (files.where(paths.is_ui_component(path) & F.col("is_new")), "new_ui_component", "new component file"),
-        (files.where(paths.is_ui_component(path) & ~F.col("is_new")), "shared_ui_component", "component file changed; consumer reach unknown"),
-        (first_of(added.where(lines.is_import(line) & paths.contains_any(line, lines.LOCAL_CHANGE)), "line"), "internal_import", "new relative import"),
-        (added.where(lines.is_import(line) & paths.contains_any(line, paths.UI_FOLDERS)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "added"))), "ui_reuse", "component import added"),
-        (first_of(added.withColumn("host", lines.url_host(line)).where("host IS NOT NULL"), "host"), "external_endpoint", "new URL host (review whether partner integration)"),
-        (added.where(lines.is_crypto(line)).groupBy("path").agg(F.min("line").alias("line")), "crypto", "keyword signal; reviewer confirmation required"),
-        (added.where(lines.is_algorithm(line)).groupBy("path").agg(F.min("line").alias("line")), "algorithm", "keyword signal; reviewer confirmation required"),
+        (files.where(paths.is_manifest(path)), "dependency_manifest"),
+        (files.where(paths.is_ui_component(path) & F.col("is_new")), "new_ui_component"),
+        (files.where(paths.is_ui_component(path) & ~F.col("is_new")), "shared_ui_component"),
+        (first_of(added.where(lines.is_import(line) & paths.contains_any(line, lines.LOCAL_CHANGE)), "line"), "internal_import"),
+        (added.where(lines.is_import(line) & paths.contains_any(line, paths.UI_FOLDERS)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "added"))), "ui_reuse"),
+        (first_of(added.withColumn("host", lines.url_host(line)).where("host IS NOT NULL"), "host"), "external_endpoint"),
+        (added.where(lines.is_crypto(line)).groupBy("path").agg(F.min("line").alias("line")), "crypto"),
+        (added.where(lines.is_algorithm(line)).groupBy("path").agg(F.min("line").alias("line")), "algorithm"),
     ]
     grown = _added_constructs(own.where(domain)).where(weighted(constructs.POINTS) > 0)
     named = [(grown.where(paths.is_terraform(path)), "terraform"), (grown.where(paths.is_sql(path)), "sql")]
-    parts += [(df, name, "new observable infrastructure/database constructs") for df, name in named]
     out = None
-    for df, dimension, detail in parts:
+    for df, dimension in parts + named:
         where = F.col("line") if "line" in df.columns else F.lit("")
-        rows = df.select(F.lit(dimension).alias("dimension"), "path", F.lit(detail).alias("detail"), where.alias("line"))
+        rows = df.select(F.lit(dimension).alias("dimension"), "path", F.lit(EVIDENCE[dimension]).alias("detail"), where.alias("line"))
         out = rows if out is None else out.unionAll(rows)
     out = out.orderBy("path", "dimension", "line")
     return (out.limit(limit) if limit is not None else out).select("dimension", "path", "detail")

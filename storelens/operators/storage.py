@@ -107,7 +107,10 @@ def mean_delta_depth(packs: DataFrame) -> DataFrame:
 
 
 def pack_hint():
-    """Column: why a repack may help, from the totals of ``pack_summary``; null if it wouldn't."""
+    """Column: why a repack may help, from the totals of ``pack_summary``; null if it wouldn't.
+
+    Fixed values: both texts.
+    """
     many = (F.col("pack_count") >= 4) & ((F.col("smallest_bytes") * 4 < F.col("total_bytes")) | (F.col("pack_count") >= 8))
     poor = (F.col("total_delta_logical") > 0) & (F.col("total_delta_physical") * 2 > F.col("total_delta_logical"))
     consolidate = F.concat(F.col("pack_count").cast("string"), F.lit(" packfiles, smallest "), F.col("smallest_bytes").cast("string"), F.lit(" bytes — consider consolidating with `git repack -ad`"))

@@ -32,5 +32,5 @@ def test_whole_change_holds_every_document(spark, sf_dir):
     old, new = catalogue._whole_change(spark, sf_dir)
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert [old.count(), new.count()] == [n, n] == [side.select("path").distinct().count() for side in (old, new)]
-    score = catalogue.QUERIES["pr_score_whole"](spark, sf_dir).first()
+    score = catalogue.QUERIES["pr_score"](spark, sf_dir).first()
     assert score.domain_points > 0 and score.total_points == score.work_points + score.complexity_points
