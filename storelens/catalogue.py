@@ -374,18 +374,24 @@ def hierarchy_flatten(spark, sf_dir):
     return tree.join(names, "root").select(F.col("r_name").alias("root"), "path", F.substring("oid", 2, 20).cast("bigint").alias("oid"))
 
 
-def _hierarchy(spark, sf_dir) -> DataFrame:
+def _folders(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Regions as roots; nations as folders and customers as files below them."""
     nation = table(spark, sf_dir, "nation").select(_key("r", "n_regionkey").alias("parent"), F.col("n_name").alias("name"), _key("n", "n_nationkey").alias("oid"), F.lit("tree").alias("kind"))
     customer = table(spark, sf_dir, "customer").select(_key("n", "c_nationkey").alias("parent"), F.col("c_name").alias("name"), _key("c", "c_custkey").alias("oid"), F.lit("blob").alias("kind"))
-    roots = table(spark, sf_dir, "region").select(_key("r", "r_regionkey").alias("root"))
-    return graph.flatten_hierarchy(roots, nation.union(customer))
+    return table(spark, sf_dir, "region").select(_key("r", "r_regionkey").alias("root")), nation.union(customer)
+
+
+def _hierarchy(spark, sf_dir) -> DataFrame:
+    return graph.flatten_hierarchy(*_folders(spark, sf_dir))
 
 
 @query("SELECT concat(n_name, '/', c_name) AS path, 'c' || c_custkey AS oid FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 11")
 def path_lookup(spark, sf_dir):
+    """Customer 11 by its path, walked down from the roots."""
     wanted = table(spark, sf_dir, "customer").where("c_custkey = 11").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    wanted = wanted.select(F.concat("n_name", F.lit("/"), "c_name").alias("path"))
-    return _hierarchy(spark, sf_dir).join(wanted, "path", "left_semi").select("path", "oid")
+    path = wanted.select(F.concat("n_name", F.lit("/"), "c_name")).first()[0]
+    roots, entries = _folders(spark, sf_dir)
+    return graph.walk_path(roots.select("root", F.col("root").alias("parent")), entries, path).select(F.lit(path).alias("path"), "oid")
 
 
 @query(f"WITH {BLOBS_SQL} SELECT oid, min(path) AS path FROM blobs GROUP BY oid")
@@ -569,9 +575,13 @@ def growth_last_n(spark, sf_dir):
     return _growth(spark, sf_dir, 6)
 
 
-@query("SELECT l_orderkey AS commit, bool_or(l_partkey <= 100 AND l_linenumber = 1) AS present FROM lineitem GROUP BY 1")
+@query("SELECT o_orderkey AS commit, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_partkey = 7) AS present FROM orders")
 def presence_by_version(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("commit")).agg(F.bool_or((F.col("l_partkey") <= 100) & (F.col("l_linenumber") == 1)).alias("present"))
+    """Which orders, as versions whose lines are their files, have part 7 on line 1."""
+    versions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderkey").alias("tree"))
+    entries = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").cast("string").alias("name"), F.col("l_partkey").alias("oid"), F.lit("blob").alias("kind"))
+    have = graph.holders(versions, entries, "1", F.lit(7)).select("commit", F.lit(True).alias("present"))
+    return versions.join(have, "commit", "left").select("commit", F.coalesce("present", F.lit(False)).alias("present"))
 
 
 _PRESENCE_SQL = "SELECT DISTINCT l_partkey AS object, l_orderkey AS commit FROM lineitem"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.paths import basename, extension_of, is_lfs_candidate, shell_quote, short_ref_name
-from storelens.plans.graph import mask_closure, pair_closure, reverse_closure
+from storelens.plans.graph import MASK_BITS, mask_closure, pair_closure, reverse_closure
 from storelens.storage import materialized
 
 
@@ -100,13 +100,19 @@ def unique_tips(refs: DataFrame) -> DataFrame:
     return own.withColumn("tip", F.row_number().over(Window.orderBy("name")) - 1)
 
 
-def unique_weights(refs: DataFrame, edges: DataFrame, sizes: DataFrame, limit: int = 0, masks: bool = False) -> DataFrame:
+def unique_weights(refs: DataFrame, edges: DataFrame, sizes: DataFrame, limit: int = 0, masks: bool | None = None) -> DataFrame:
     """(name, full_name, unique_bytes): bytes that only one ref keeps, for each ref.
 
-    With ``masks`` (up to 64 refs) a bit for each ref is carried; else the two outermost refs, which
-    is enough to tell one from many, for any number of refs.
+    With ``masks`` a bit for each ref is carried, which holds up to 64 refs (more are an error); else
+    the two outermost refs, which is enough to tell one from many, for any number of refs.  Without a
+    choice, the number of refs with different targets decides.
     """
     tips = unique_tips(refs)
+    if masks is not False:
+        many = tips.count() > MASK_BITS
+        if masks and many:
+            raise ValueError(f"masks hold {MASK_BITS} refs")
+        masks = not many
     if masks:
         seen = mask_closure(tips.select(F.col("tip").alias("bit"), F.col("target").alias("node")), edges)
         bit = F.expr("CAST(bit_count(mask - 1) AS INT)")

@@ -5,71 +5,97 @@ Rounds are written to the shared folder; the driver only learns whether a fronti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelens.storage import materialized
+from storelens.storage import dropped, materialized
 
 
-def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 4096) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct nodes that ``seeds(node)`` reach over ``edges(src, dst)``, seeds included.
 
-    Semi-naive: only nodes found in the last round are expanded, each node once.
+    Semi-naive: only nodes found in the last round are expanded, each node once.  The edges are
+    written once, so that a round reads them and not what they are made of.
     """
-    frontier = materialized(seeds.select("node").where("node IS NOT NULL").distinct(), "frontier")
-    seen = frontier
-    for _ in range(max_rounds):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+    edges = materialized(edges.select("src", "dst"), "edges")
+    frontier = seen = materialized(seeds.select("node").where("node IS NOT NULL").distinct(), "frontier")
+    while frontier.n_rows:
+        step = edges.join(frontier, edges["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
         frontier = materialized(step.join(seen, "node", "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier)
-    raise RuntimeError(f"no end after {max_rounds} rounds")
+        seen = seen.union(frontier) if frontier.n_rows else seen
+    dropped(edges)
+    return seen
 
 
-def reverse_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 4096) -> DataFrame:
+def reverse_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct nodes that reach ``seeds(node)``, seeds included."""
-    return closure(seeds, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_rounds)
+    return closure(seeds, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def pair_closure(tips: DataFrame, edges: DataFrame, max_rounds: int = 4096) -> DataFrame:
+def _spread(start: DataFrame, edges: DataFrame, values: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """(node, values...): what ``start(node, values...)`` brings to each node that it reaches.
+
+    ``values`` names columns and the aggregates that combine them.  A round sends on only the nodes
+    whose values changed; what a node had is looked up for the nodes that a round comes to, and only
+    changed rows are written.
+    """
+    edges = materialized(edges.select("src", "dst"), "edges")
+    combined = lambda df: df.groupBy("node").agg(*(f(c).alias(c) for c, f in values.items()))
+    frontier = every = materialized(combined(start), "spread")
+    while frontier.n_rows:
+        step = combined(edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node"), *values))
+        step = materialized(step, "step")
+        had = combined(every.join(step.select("node"), "node", "left_semi"))
+        had = had.select(F.col("node").alias("old_node"), *(F.col(c).alias(f"old_{c}") for c in values))
+        both = combined(step.unionByName(had.select(F.col("old_node").alias("node"), *(F.col(f"old_{c}").alias(c) for c in values))))
+        same = F.col("old_node").isNotNull()
+        for c in values:
+            same &= F.col(c) == F.col(f"old_{c}")
+        grown = both.join(had, F.col("node") == F.col("old_node"), "left").where(~same).select("node", *values)
+        frontier = materialized(grown, "spread")
+        dropped(step)
+        every = every.unionByName(frontier) if frontier.n_rows else every
+    dropped(edges)
+    return materialized(combined(every), "spread")
+
+
+def pair_closure(tips: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, a, b): the smallest and the largest tip of ``tips(tip, node)`` that reach the node.
 
     They are equal where a single tip does.  A node has one row, whatever the number of tips, and is
     expanded again only when one of the two changed.
     """
-    fewest = lambda df: df.groupBy("node").agg(F.min("tip").alias("a"), F.max("tip").alias("b"))
-    seen = materialized(fewest(tips.where("node IS NOT NULL")), "pairs")
-    frontier = seen
-    for _ in range(max_rounds):
-        step = frontier.join(edges, frontier["node"] == edges["src"])
-        step = step.select(F.col("dst").alias("node"), F.explode(F.array("a", "b")).alias("tip"))
-        known = seen.select("node", F.explode(F.array("a", "b")).alias("tip"))
-        both = materialized(fewest(step.union(known)), "pairs")
-        old = seen.select("node", F.col("a").alias("oa"), F.col("b").alias("ob"))
-        grown = both.join(old, "node", "left").where(F.col("oa").isNull() | (F.col("a") != F.col("oa")) | (F.col("b") != F.col("ob")))
-        frontier = materialized(grown.select("node", "a", "b"), "frontier")
-        if frontier.isEmpty():
-            return both
-        seen = both
-    raise RuntimeError(f"no end after {max_rounds} rounds")
-
-
-def mask_closure(tips: DataFrame, edges: DataFrame, max_rounds: int = 4096) -> DataFrame:
-    """(node, mask): bit i is set where tip number i of ``tips(bit, node)`` reaches the node; at most 64 tips."""
-    one = F.expr("shiftleft(1L, CAST(bit AS INT))")
-    seen = materialized(tips.where("node IS NOT NULL").groupBy("node").agg(F.bit_or(one).alias("mask")), "masks")
-    frontier = seen
-    for _ in range(max_rounds):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"), "mask")
-        both = materialized(step.union(seen).groupBy("node").agg(F.bit_or("mask").alias("mask")), "masks")
-        old = seen.select("node", F.col("mask").alias("old"))
-        grown = both.join(old, "node", "left").where(F.col("old").isNull() | (F.col("mask") != F.col("old")))
-        frontier = materialized(grown.select("node", "mask"), "frontier")
-        if frontier.isEmpty():
-            return both
-        seen = both
-    raise RuntimeError(f"no end after {max_rounds} rounds")
+    start = tips.where("node IS NOT NULL").select("node", F.col("tip").alias("a"), F.col("tip").alias("b"))
+    return _spread(start, edges, {"a": F.min, "b": F.max})
+
+
+MASK_BITS = 64
+
+
+def mask_closure(tips: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, mask): bit i is set where tip number i of ``tips(bit, node)`` reaches the node; bits are 0 to 63."""
+    bit = F.col("bit").cast("int")
+    checked = F.when(bit.between(0, MASK_BITS - 1), bit).otherwise(F.raise_error(F.lit("a mask has 64 bits")).cast("int"))
+    start = tips.where("node IS NOT NULL").select("node", F.call_function("shiftleft", F.lit(1).cast("bigint"), checked).alias("mask"))
+    return _spread(start, edges, {"mask": F.bit_or})
+
+
+def walk_path(roots: DataFrame, entries: DataFrame, path: str) -> DataFrame:
+    """(root, oid, kind) at ``path`` below ``roots(root, parent)``: one entry of each folder on the way is looked up."""
+    at = roots.select("root", F.col("parent").alias("oid"), F.lit("tree").alias("kind"))
+    for name in path.split("/"):
+        step = entries.where(F.col("name") == name).select("parent", F.col("oid").alias("next"), F.col("kind").alias("next_kind"))
+        at = at.where("kind = 'tree'").join(step, F.col("oid") == F.col("parent")).select("root", F.col("next").alias("oid"), F.col("next_kind").alias("kind"))
+    return at
+
+
+def holders(commits: DataFrame, entries: DataFrame, path: str, blob: Column) -> DataFrame:
+    """The rows of ``commits(tree, ...)`` that have ``blob`` at ``path``; distinct root trees are walked once."""
+    roots = commits.select(F.col("tree").alias("root"), F.col("tree").alias("parent")).distinct()
+    found = walk_path(roots, entries, path).where(F.col("oid") == blob).select(F.col("root").alias("tree")).distinct()
+    return commits.join(found, "tree", "left_semi")
 
 
 def flatten_hierarchy(roots: DataFrame, entries: DataFrame, max_depth: int = 512) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.operators.storage import dedup_prefer_first
-from storelens.plans.graph import closure, flatten_hierarchy, pair_closure
+from storelens.plans.graph import closure, flatten_hierarchy, holders, pair_closure
 from storelens.sources.datasource import read_table
 from storelens.sources.repository import BadRevision, Repository, parse_revision, read_refs, resolve_base
 from storelens.storage import materialized
@@ -43,9 +43,18 @@ class Store:
 
     @cached_property
     def commits(self) -> DataFrame:
-        rows = materialized(self._table("commits").dropDuplicates(["oid"]), "commits")
+        """(oid, tree, parents, committer_ts, ts): those of the commit-graph from there, the others parsed."""
+        columns = ("oid", "tree", "parents", "committer_ts")
+        listed = self._table("commit_graph").select(*columns)
+        parsed = self._table("commits", beyond="graph").select(*columns)
+        rows = materialized(listed.unionByName(parsed).dropDuplicates(["oid"]), "commits")
         return rows.withColumn("ts", F.coalesce("committer_ts", F.lit(0)))
 
+    def commit(self, oid: bytes) -> dict:
+        """All fields of one commit, parsed from its payload."""
+        row = self._table("commits", oid=bytes(oid).hex()).first()
+        return row.asDict() if row else {}
+
     @cached_property
     def entries(self) -> DataFrame:
         """(parent, name, oid, kind) of tree entries."""
@@ -190,8 +199,4 @@ class Store:
         """(commit, ts) of reachable commits that have ``blob`` at ``path``; distinct root trees are walked once."""
         commits = self.frame(self.ancestors(x for r in self.refs for x in self.tag_chain(r.target)))
         rows = self.commits.join(commits, "oid", "left_semi").select(F.col("oid").alias("commit"), "ts", "tree")
-        at = rows.select("tree", F.col("tree").alias("here")).distinct()
-        for name in path.split("/"):
-            step = self.entries.where(F.col("name") == name).select(F.col("parent").alias("here"), F.col("oid").alias("next"))
-            at = at.join(step, "here").select("tree", F.col("next").alias("here"))
-        return rows.join(at.where(F.col("here") == F.lit(bytearray(blob))), "tree", "left_semi").select("commit", "ts")
+        return holders(rows, self.entries, path, F.lit(bytearray(blob))).select("commit", "ts")

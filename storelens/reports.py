@@ -234,8 +234,8 @@ def _events(store: Store, found: Target, at_head: bool) -> dict:
         if commit is None:
             out[name] = None
             continue
-        c = store.commits.where(F.col("oid") == F.lit(commit)).select("ts", "author_ident", F.date_format(F.timestamp_seconds(F.greatest("ts", F.lit(0))), "yyyy-MM-dd").alias("d")).first()
-        out[name] = {"commit": bytes(commit).hex()[:7], "date": c.d} | ({"author": c.author_ident} if name == "introduced" else {})
+        c = store.commits.where(F.col("oid") == F.lit(commit)).select(F.date_format(F.timestamp_seconds(F.greatest("ts", F.lit(0))), "yyyy-MM-dd").alias("d")).first()
+        out[name] = {"commit": bytes(commit).hex()[:7], "date": c.d} | ({"author": store.commit(commit).get("author_ident")} if name == "introduced" else {})
     return out
 
 

@@ -2,7 +2,7 @@
 
 ``spark.read.format("odb").option("path", repository).option("table", name).load()``, with the tables
 of ``SCHEMAS``.  Option ``types`` narrows ``objects`` and ``payloads`` to some object types and ``oid``
-to one object, before anything is inflated.  A task reads one range of a pack in the order of its
+to one object, and ``beyond`` = ``graph`` skips what the commit-graph lists, before anything is inflated.  A task reads one range of a pack in the order of its
 offsets, so that delta bases stay near, or some fan-out folders of loose files.  The repository must be
 at the same path on all executors.
 """
@@ -62,6 +62,7 @@ class OdbReader(DataSourceReader):
         asked = options.get("types")
         self.types = _PARSED.get(self.table) or (tuple(asked.split(",")) if asked else None)
         self.oid = bytes.fromhex(options["oid"]) if options.get("oid") else None
+        self.beyond_graph = options.get("beyond") == "graph"
         self.range = int(options.get("range", RANGE))
 
     def partitions(self) -> list[Part]:
@@ -91,6 +92,7 @@ class OdbReader(DataSourceReader):
 
     def _rows(self, part: Part) -> Iterator[tuple]:
         width = self.repo.hash_bytes
+        listed = odb.GraphIds(f"{self.repo.objects_dir}/info/commit-graph", width) if self.beyond_graph else ()
         if part.graph:
             yield from odb.commit_graph(part.graph, width) or ()
         if part.stem:
@@ -98,7 +100,7 @@ class OdbReader(DataSourceReader):
             order, spans = pack.spans()
             for k, span in zip(order[part.begin : part.end].tolist(), spans[part.begin : part.end].tolist(), strict=True):
                 oid, offset = pack.index.oids[k].tobytes(), int(pack.index.offsets[k])
-                if self.oid not in (None, oid):
+                if self.oid not in (None, oid) or oid in listed:
                     continue
                 kind, size, depth = pack.info(offset)
                 if self.table == "pack_entries":
@@ -111,7 +113,7 @@ class OdbReader(DataSourceReader):
                         yield from self._parsed(oid, *pack.payload(offset))
         for fan in part.fans:
             for oid, path, size in odb.loose_files(self.repo.objects_dir, fan, width):
-                if self.oid not in (None, oid):
+                if self.oid not in (None, oid) or oid in listed:
                     continue
                 kind, logical = odb.loose_header(path)
                 if self.types is None or kind in self.types:

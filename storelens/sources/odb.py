@@ -391,3 +391,22 @@ def commit_graph(path: str, width: int) -> list[tuple[bytes, bytes, list[bytes],
             return None
         out.append((oid(k), row[:width], [oid(p) for p in parents], (high & 3) << 32 | low))
     return out
+
+
+class GraphIds:
+    """The ids of a commit-graph, for lookup; empty where the file can't be trusted."""
+
+    def __init__(self, path: str, width: int):
+        rows = commit_graph(path, width) or []
+        self.raw = b"".join(sorted(r[0] for r in rows))
+        self.width = width
+        ids = np.frombuffer(self.raw, np.uint8).reshape(-1, width)
+        self.heads = np.ascontiguousarray(ids[:, :8]).view(">u8").ravel()
+
+    def __contains__(self, oid: bytes) -> bool:
+        k = int(np.searchsorted(self.heads, np.frombuffer(oid[:8], ">u8")[0]))
+        while k < len(self.heads) and self.raw[k * self.width : k * self.width + 8] == oid[:8]:
+            if self.raw[k * self.width : (k + 1) * self.width] == oid:
+                return True
+            k += 1
+        return False
