@@ -262,20 +262,48 @@ URLS = [
 ]
 
 
+def brute_model(rows):
+    """Host words and odds of each row's URL, by the definition."""
+    texts = [re.sub("<[^>]*>", " ", h or "") for _, _, h in rows]
+    counts = Counter(w for t in texts for w in re.findall("[a-z]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)))
+    known, seen = [], {"block": Counter(), "allow": Counter()}
+    examples = Counter()
+    for _, u, _ in rows:
+        host, path, _, verdict = brute_url(u)
+        names = re.findall("[a-z]+", host[: host.rindex(".")] if "." in host else "")
+        ws = [w for n in names for w in urls.segment(n, counts, sum(counts.values()))]
+        tokens = ws + re.findall("[a-z0-9]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in path))
+        known.append((ws, tokens))
+        if verdict:
+            examples[verdict] += 1
+            seen[verdict].update(tokens)
+    size = len(set(seen["block"]) | set(seen["allow"])) + 1
+    chance = lambda t, v: (seen[v][t] + 1) / (sum(seen[v].values()) + size)
+    prior = math.log((examples["block"] + 1) / (examples["allow"] + 1))
+    return [(" ".join(ws), prior + sum(math.log(chance(t, "block") / chance(t, "allow")) for t in tokens)) for ws, tokens in known]
+
+
 def test_urls(spark):
-    html = "<p class='no'>the good news casino win big win the casino</p> good big A-b"
-    rows = [(k, u, html if k % 2 else None) for k, u in enumerate(URLS)] + [(None, URLS[0], "x"), (1, URLS[1], "x")]
+    giant = "w" * 30 + "news" + "z" * 41
+    html = f"<p class='no'>the good news casino win big win the casino</p> good big A-b {giant} fr es"
+    more = [f"http://shop{k}.net/{'es' if k % 2 else 'fr'}/sale/{k}" for k in range(6)] + ["http://x.org/es/sale", "http://y.org/about", f"http://the{giant}good.org/en/", "http://" + "goodnews" * 300 + ".org/"]
+    rows = [(k, u, html if k % 2 else None) for k, u in enumerate(URLS + more)] + [(None, URLS[0], "x"), (1, URLS[1], "x")]
     pages = spark.createDataFrame([(*r, "h", "p", "r") for r in rows], "page_id bigint, url string, html string, host string, path string, rule string").repartition(3)
     got = urls.judged(pages).collect()
     assert len(got) == len(rows)
-    want = Counter((i, *brute_url(u)[:3]) for i, u, _ in rows)
-    assert Counter((r.page_id, r.host, r.path, r.rule) for r in got) == want
+    model = {}
+    for (_, u, _), (ws, odds) in zip(rows, brute_model(rows), strict=True):
+        model[brute_url(u)[:2]] = (ws, odds)
+    assert Counter((r.page_id, r.host, r.path, r.rule) for r in got) == Counter((i, *brute_url(u)[:3]) for i, u, _ in rows)
     for r in got:
+        ws, odds = model[r.host, r.path]
+        assert r.host_words == ws and r.odds / 1e6 == pytest.approx(odds, abs=1e-3 + 1e-5 * len(r.path))
         verdict = next((brute_url(u)[3] for i, u, _ in rows if i == r.page_id and brute_url(u)[:2] == (r.host, r.path)), None)
         assert r.verdict == (verdict or ("block" if r.odds > 0 else "allow"))
     by_host = {r.host: r for r in got}
     assert by_host["casinowin.org"].host_words == "casino win" and by_host["goodnews.org"].host_words == "good news"
-    assert by_host["casinowin.org"].odds > by_host["goodnews.org"].odds
+    assert by_host[f"the{giant}good.org"].host_words == f"the {giant} good"
+    assert by_host["x.org"].odds > by_host["y.org"].odds
     assert urls.judged(pages.limit(0)).count() == 0
 
 
@@ -293,6 +321,7 @@ def test_segmentation_is_the_best_split():
         for name in map("".join, itertools.product("abc", repeat=n)):
             got = urls.segment(name, counts, total)
             assert "".join(got) == name and score(got) == pytest.approx(max(map(score, splits(name))))
+    assert urls.segment("x" * 60, {}, 100) == ["x" * 60]
 
 
 # --- pipeline ------------------------------------------------------------------------------------
