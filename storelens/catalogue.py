@@ -558,11 +558,20 @@ o AS (SELECT month, coalesce(b, 0)::BIGINT AS introduced_bytes FROM e LEFT JOIN
 SELECT month, introduced_bytes, (sum(introduced_bytes) OVER (ORDER BY month))::BIGINT AS cumulative_bytes FROM o"""
 
 
+def _blob_sizes(spark, sf_dir, found: DataFrame) -> DataFrame:
+    size = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("size"))
+    return found.select("blob").distinct().join(size, F.expr("blob div 10000") == F.col("p_partkey")).select("blob", "size")
+
+
 def _growth(spark, sf_dir, last=None) -> DataFrame:
     found = files(spark, sf_dir)
-    size = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("size"))
-    blob_sizes = found.select("blob").distinct().join(size, F.expr("blob div 10000") == F.col("p_partkey")).select("blob", "size")
-    return history.growth_by_month(_commits(spark, sf_dir), found, blob_sizes, lambda ts: F.date_format(ts, "yyyy-MM"), last)
+    return history.growth_by_month(_commits(spark, sf_dir), found, _blob_sizes(spark, sf_dir, found), lambda ts: F.date_format(ts, "yyyy-MM"), last)
+
+
+@query(f"WITH {CANDIDATES_SQL}, first AS (SELECT blob, arg_min(c, (ts, c)) AS c FROM cand GROUP BY blob) SELECT c AS commit, count(*) AS blobs, sum(p_size)::BIGINT AS introduced_bytes FROM first JOIN part ON p_partkey = blob // 10000 GROUP BY c")
+def commit_contribution(spark, sf_dir):
+    found = files(spark, sf_dir)
+    return history.commit_contribution(_commits(spark, sf_dir), found, _blob_sizes(spark, sf_dir, found))
 
 
 @query(_GROWTH_SQL)

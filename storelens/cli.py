@@ -13,6 +13,7 @@ from storelens.functions.sizes import parse_size_text
 from storelens.operators.scoring import change_records
 from storelens.plans.relations import Store
 from storelens.session import local_session
+from storelens.sinks.progress import Progress
 from storelens.sinks.text import as_json, as_text
 from storelens.sources.odb import Corrupt, Unsupported
 from storelens.sources.repository import BadRevision, NotARepository, discover
@@ -85,8 +86,15 @@ def _default_base(store: Store) -> str:
     return "origin/main" if "refs/remotes/origin/main" in names else "main"
 
 
-def run(o: argparse.Namespace, spark: SparkSession, out) -> int:
-    store = Store(spark, discover(o.path))
+def run(o: argparse.Namespace, spark: SparkSession, out, progress: Progress | None = None) -> int:
+    progress = progress or Progress(quiet=True)
+    with progress.phase("open"):
+        store = Store(spark, discover(o.path))
+    with progress.phase(o.command):
+        return _report(o, store, out)
+
+
+def _report(o: argparse.Namespace, store: Store, out) -> int:
     show = lambda report, compact=False: print(as_json(report, compact) if o.json else as_text(report), file=out)
     status = "current" if o.current else "historical" if o.historical else None
     if o.command == "pr" and o.input:
@@ -147,7 +155,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     out, err = out or sys.stdout, err or sys.stderr
     try:
         o = parse(sys.argv[1:] if argv is None else argv)
-        return run(o, spark or local_session(o.threads or "*"), out)
+        with Progress(err, o.quiet, o.verbose) as progress:
+            with progress.phase("session"):
+                spark = spark or local_session(o.threads or "*")
+            return run(o, spark, out, progress)
     except (Invalid, BadRevision, reports.AmbiguousTarget) as e:
         print(f"error: {type(e).__name__}: {e}", file=err)
         return INVALID

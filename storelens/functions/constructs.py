@@ -46,21 +46,39 @@ def sql_tokens(text: Column) -> Column:
     return F.filter(F.split(clean, SQL_BREAKS), lambda t: t != "")
 
 
-def sql_counts(tokens: Column) -> dict[str, Column]:
-    """Counts by construct, from the tokens of a text."""
-    before = lambda i, n: F.slice(tokens, F.greatest(i - n + 1, F.lit(1)), F.least(i, F.lit(n)))
+def sql_hits(tokens: Column) -> Column:
+    """The few tokens that count: array of struct(t, ddl, after).
+
+    ``ddl`` tells whether "create" is among the four tokens before, ``after`` whether it's the one
+    before.  One pass over the tokens; all counts are made from what it leaves.
+    """
+    words = (*CREATED.values(), *PLAIN.values(), "with")
+
+    def marked(all_tokens: Column) -> Column:
+        def hit(t: Column, i: Column) -> Column:
+            recent = F.slice(all_tokens, F.greatest(i - 3, F.lit(1)), F.least(i, F.lit(4)))
+            after = F.coalesce(F.get(all_tokens, i - 1) == "create", F.lit(False))
+            return F.when(t.isin(*words), F.struct(t.alias("t"), F.array_contains(recent, "create").alias("ddl"), after.alias("after")))
+
+        return F.filter(F.transform(all_tokens, hit), lambda h: h.isNotNull())
+
+    return F.get(F.transform(F.array(tokens), marked), F.lit(0))
+
+
+def sql_counts(hits: Column) -> dict[str, Column]:
+    """Counts by construct, from ``sql_hits`` of a text."""
 
     def count(test) -> Column:
-        return F.size(F.filter(tokens, test)).cast("bigint")
+        return F.size(F.filter(hits, test)).cast("bigint")
 
     def created(word: str) -> Column:
-        return count(lambda t, i: (t == word) & F.array_contains(before(i, 4), "create"))
+        return count(lambda h: (h["t"] == word) & h["ddl"])
 
     def plain(word: str) -> Column:
-        return count(lambda t: t == word)
+        return count(lambda h: h["t"] == word)
 
     out = {name: created(word) for name, word in CREATED.items()} | {name: plain(word) for name, word in PLAIN.items()}
-    out["sql_ctes"] = count(lambda t, i: (t == "with") & ~F.coalesce(F.get(tokens, i - 1) == "create", F.lit(False)))
+    out["sql_ctes"] = count(lambda h: (h["t"] == "with") & ~h["after"])
     return out
 
 

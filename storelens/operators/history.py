@@ -62,6 +62,17 @@ def growth_by_month(commits: DataFrame, files: DataFrame, sizes: DataFrame, mont
     return months_of(first.select("blob", F.col("f.ts").alias("ts")), commits, sizes, month, last)
 
 
+def commit_contribution(commits: DataFrame, files: DataFrame, sizes: DataFrame, limit: int = 0) -> DataFrame:
+    """(commit, blobs, introduced_bytes): what each commit was the first (by time, then id) to bring.
+
+    Ordered by bytes, then id; ``limit`` 0 gives all commits that brought something.
+    """
+    first = growth_candidates(commits, files).groupBy("blob").agg(F.min(F.struct("ts", "commit")).alias("f"))
+    out = first.select("blob", F.col("f.commit").alias("commit")).join(sizes, "blob").groupBy("commit").agg(F.count("*").alias("blobs"), F.sum("size").alias("introduced_bytes"))
+    out = out.orderBy(F.desc("introduced_bytes"), "commit")
+    return out.limit(limit) if limit else out
+
+
 def introduced_deleted(presence: DataFrame, parents: DataFrame, at_head: DataFrame) -> DataFrame:
     """(object, introduced, deleted) by ``presence(object, commit, ts)`` and ``parents(commit, parent, ts)``.
 

@@ -46,7 +46,7 @@ def weighted(points: dict[str, int]) -> Column:
 def _constructs(path: Column, text: Column) -> dict[str, Column]:
     """Counts of all constructs of a text; zero where its path asks for none."""
     zero = F.lit(0).cast("bigint")
-    sql = constructs.sql_counts(F.col("_tokens"))
+    sql = constructs.sql_counts(F.col("_hits"))
     out = {name: F.when(paths.is_terraform(path), F.element_at("_terraform", k + 1)).otherwise(zero) for k, name in enumerate(constructs.TERRAFORM)}
     return out | {name: F.when(paths.is_sql(path), sql[name]).otherwise(zero) for name in constructs.SQL}
 
@@ -54,8 +54,8 @@ def _constructs(path: Column, text: Column) -> dict[str, Column]:
 def with_constructs(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """``files`` with a column for each construct's count."""
     p, t = F.col(path), F.coalesce(F.col(text), F.lit(""))
-    made = files.withColumns({"_tokens": F.when(paths.is_sql(p), constructs.sql_tokens(t)), "_terraform": F.when(paths.is_terraform(p), constructs.terraform_counts(t))})
-    return made.withColumns(_constructs(p, t)).drop("_tokens", "_terraform")
+    made = files.withColumns({"_hits": F.when(paths.is_sql(p), constructs.sql_hits(constructs.sql_tokens(t))), "_terraform": F.when(paths.is_terraform(p), constructs.terraform_counts(t))})
+    return made.withColumns(_constructs(p, t)).drop("_hits", "_terraform")
 
 
 def file_signals(files: DataFrame, go_prefix: Column | None = None, keys: tuple[str, ...] = ("path",)) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from storelens.functions.sizes import format_size_text
 
 _BYTES = ("bytes", "size", "limit", "actual")
@@ -13,6 +16,11 @@ def as_json(report: dict, compact: bool = False) -> str:
     return json.dumps(report, ensure_ascii=False, separators=(",", ":")) if compact else json.dumps(report, ensure_ascii=False, indent=2)
 
 
+def json_rows(rows: DataFrame) -> DataFrame:
+    """(json): one flat JSON object for each row, nulls included, as the scorer gives for any files."""
+    return rows.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def _cell(name: str, value) -> str:
     if value is None:
         return "-"
