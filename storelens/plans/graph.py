@@ -20,10 +20,10 @@ def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     written once, so that a round reads them and not what they are made of.
     """
     edges = materialized(edges.select("src", "dst"), "edges")
-    frontier = seen = materialized(seeds.select("node").where("node IS NOT NULL").distinct(), "frontier")
+    frontier = seen = materialized(seeds.select("node").where("node IS NOT NULL").distinct(), "frontier", counted=True)
     while frontier.n_rows:
         step = edges.join(frontier, edges["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = materialized(step.join(seen, "node", "left_anti"), "frontier")
+        frontier = materialized(step.join(seen, "node", "left_anti"), "frontier", counted=True)
         seen = seen.union(frontier) if frontier.n_rows else seen
     dropped(edges)
     return seen
@@ -43,7 +43,7 @@ def _spread(start: DataFrame, edges: DataFrame, values: dict[str, Callable[[str]
     """
     edges = materialized(edges.select("src", "dst"), "edges")
     combined = lambda df: df.groupBy("node").agg(*(f(c).alias(c) for c, f in values.items()))
-    frontier = every = materialized(combined(start), "spread")
+    frontier = every = materialized(combined(start), "spread", counted=True)
     while frontier.n_rows:
         step = combined(edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node"), *values))
         step = materialized(step, "step")
@@ -54,7 +54,7 @@ def _spread(start: DataFrame, edges: DataFrame, values: dict[str, Callable[[str]
         for c in values:
             same &= F.col(c) == F.col(f"old_{c}")
         grown = both.join(had, F.col("node") == F.col("old_node"), "left").where(~same).select("node", *values)
-        frontier = materialized(grown, "spread")
+        frontier = materialized(grown, "spread", counted=True)
         dropped(step)
         every = every.unionByName(frontier) if frontier.n_rows else every
     dropped(edges)

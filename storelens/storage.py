@@ -28,22 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
+def materialized(df: DataFrame, name: str, counted: bool = False) -> DataFrame:
     """``df`` written as Parquet and read again: its lineage is cut, and any executor may be lost.
 
-    The number of rows is kept as ``n_rows``, so that no further job is needed to know if there are any.
+    If ``counted``, the write keeps the number of rows as ``n_rows``, which saves a job.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    (df.observe(seen, F.count(F.lit(1)).alias("n")) if counted else df).write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
-    out.stored_at, out.n_rows = path, int(seen.get["n"])
+    out.stored_at = path
+    if counted:
+        out.n_rows = int(seen.get["n"])
     return out
 
 
 def dropped(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more: all that was made of them is written itself."""
     for df in tables:
+        if not hasattr(df, "stored_at"):
+            continue
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
