@@ -1,17 +1,18 @@
-"""Shared helpers: the shared folder, Arrow buffers, regular expressions fixed by the contracts."""
+"""Shared helpers: Arrow buffers, regular expressions fixed by the contracts, tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from storelens.storage import dropped as dropped
+from storelens.storage import materialized as stored  # noqa: F401
+
 #: Characters that separate words, and the words between them (Java and RE2 syntax).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -21,34 +22,6 @@ SPACES = " \t\n\x0b\x0c\r"
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    It is read from the session.  Where it is unset (tests on one machine) a temporary folder
-    becomes the context's checkpoint folder.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir()
-    if found and not isinstance(found, str):
-        found = found.get() if found.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="storelens-")
-        sc.setCheckpointDir(found)
-        found = sc._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table that was written.
-
-    This cuts the lineage: a lost executor costs a re-read, never a recomputation.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` (a one-element ``transform``)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import stored
+from storelens.llm.common import dropped, stored
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -27,21 +27,25 @@ def components(edges: DataFrame) -> DataFrame:
     component always hooks to itself, so it's what all hooks lead to.
     """
     pair = (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    left = stored(edges.where("u <> v").select(*pair).distinct(), "edges")
+    left = stored(edges.where("u <> v").select(*pair).distinct(), "edges", counted=True)
     rounds = []
-    while not left.isEmpty():
+    while left.n_rows:
         both = left.select("u", "v").union(left.select("v", "u"))
-        hook = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("hook")), "hooks")
-        jump = hook.select(F.col("node").alias("hook"), F.col("hook").alias("jump"))
-        hook = stored(hook.join(jump, "hook").select("node", F.col("jump").alias("hook")), "hooks")
+        near = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("hook")), "hooks")
+        jump = near.select(F.col("node").alias("hook"), F.col("hook").alias("jump"))
+        hook = stored(near.join(jump, "hook").select("node", F.col("jump").alias("hook")), "hooks")
         rounds.append(hook)
         moved = left.join(hook.withColumnRenamed("node", "u"), "u").select(F.col("hook").alias("u"), "v")
         moved = moved.join(hook.withColumnRenamed("node", "v"), "v").select("u", F.col("hook").alias("v"))
-        left = stored(moved.where("u <> v").select(*pair).distinct(), "edges")
+        after = stored(moved.where("u <> v").select(*pair).distinct(), "edges", counted=True)
+        dropped(near, left)
+        left = after
     if not rounds:
         return left.select(F.col("u").alias("node"), F.col("v").alias("label"))
     labels = rounds[-1].withColumnRenamed("hook", "label")
     for hook in reversed(rounds[:-1]):
         end = labels.select(F.col("node").alias("hook"), "label")
         labels = hook.join(end, "hook", "left").select("node", F.coalesce("label", "hook").alias("label"))
-    return stored(labels, "labels")
+    out = stored(labels, "labels")
+    dropped(left, *rounds)
+    return out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import WORD_CLASS, grouped, slices, stored, text_buffer
+from storelens.llm.common import WORD_CLASS, dropped, grouped, slices, stored, text_buffer
 from storelens.llm.components import components, stars
 from storelens.llm.textvec import Words, mix
 
@@ -245,26 +245,34 @@ def _classed(known: DataFrame, sketch: DataFrame, block_docs: int, block_bytes:
     banded = stored(banded.select("set_key", F.explode("bands").alias("band")), "bands")
     shared = banded.groupBy("band").agg(F.min("set_key").alias("v"), F.max("set_key").alias("top")).where("v < top").select("band", "v")
     ties = banded.join(shared, "band").where("set_key <> v").select(F.col("set_key").alias("u"), "v").distinct()
-    groups = components(stars(ties)).select(F.col("node").alias("set_key"), F.xxhash64("label").alias("gid"))
+    tied = components(stars(ties))
+    dropped(banded)
+    groups = tied.select(F.col("node").alias("set_key"), F.xxhash64("label").alias("gid"))
 
     # units: pairs of blocks of a group; an entry is compared by the text of its first row
     members = groups.join(entries, "set_key").select("set_key", "gid", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
     members = stored(members, "members")
-    members = known.join(members, ["doc_id", "text_key"]).groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("gid", "copies", "text")))
-    members = stored(members, "members")
-    sizes = members.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum(F.octet_length("text")) / block_bytes)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "gid").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    dropped(tied)
+    texts = known.join(members, ["doc_id", "text_key"]).groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("gid", "copies", "text")))
+    texts = stored(texts, "texts")
+    dropped(members)
+    sizes = texts.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum(F.octet_length("text")) / block_bytes)).cast("int").alias("blocks"))
+    dealt = texts.join(sizes, "gid").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = dealt.select("gid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", F.col("set_key").alias("entry"), "copies", "text")
     # a fixed number: work grows with the pairs, so small partitions aren't to be put together by their bytes
     units = units.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi")
     found = stored(units.mapInArrow(_units, LINK_SCHEMA), "links")
 
-    classes = components(stars(found.select("u", "v"))).select(F.col("node").alias("set_key"), F.col("label").alias("class"))
+    dropped(texts)
+    linked = components(stars(found.select("u", "v")))
+    classes = linked.select(F.col("node").alias("set_key"), F.col("label").alias("class"))
     links = found.groupBy(F.col("u").alias("set_key")).agg(F.sum("links").alias("links"))
     out = entries.join(classes, "set_key", "left").join(links, "set_key", "left")
     out = out.select("set_key", F.coalesce("class", "set_key").alias("class"), "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return stored(out, "classes")
+    out = stored(out, "classes")
+    dropped(entries, found, linked)
+    return out
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -281,6 +289,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = _classed(known, sketch, block_docs, block_bytes)
     names = classed.groupBy("class").agg(F.min("first.doc_id").alias("class_id"))
     named = stored(classed.join(names, "class").select("set_key", "class_id", "n_links"), "named")
+    dropped(classed)
     keyed = sketch.where("set_key IS NOT NULL").select("doc_id", "set_key").join(named, "set_key").select("doc_id", "class_id", "n_links")
     blank = sketch.where("set_key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     nameless = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id")).where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))

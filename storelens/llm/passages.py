@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import CHUNK_BYTES, grouped, slices, stored, text_buffer
+from storelens.llm.common import CHUNK_BYTES, dropped, grouped, slices, stored, text_buffer
 from storelens.llm.textvec import OTHER_BASE, Words
 
 WINDOW, GRAM = 35, 8
@@ -216,9 +216,13 @@ def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     twice = stored(twice, "twice")
     wanted = placed.join(twice, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("anchors"))
     wanted = stored(wanted.join(one.select("tid", "many", "hid", "text_key"), "tid"), "wanted")
+    dropped(one, twice)
     chosen = wanted.join(rows.select("hid", "text_key", "text"), ["hid", "text_key"]).select("tid", "many", "text", "anchors")
-    chosen = stored(chosen.groupBy("tid").agg(*(F.first(c).alias(c) for c in ("many", "text", "anchors"))), "chosen")
+    if not scan.groupBy("hid", "text_key").count().where("count > 1").isEmpty():  # rows that repeat whole
+        chosen = chosen.groupBy("tid").agg(*(F.first(c).alias(c) for c in ("many", "text", "anchors")))
+    chosen = stored(chosen, "chosen")
 
+    dropped(wanted)
     windows = stored(chosen.mapInArrow(_windows, WINDOW_SCHEMA), "windows")
     place = F.struct("tid", "i")
     confirmed = windows.groupBy("h", "g").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("many").alias("many")).where("p <> q OR many")
@@ -228,6 +232,7 @@ def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     patterns = confirmed.groupBy("shard", "part").agg(F.sort_array(F.collect_set("first")).alias("at"))
     members = windows.join(confirmed, ["h", "g"]).groupBy("shard", "part", "tid").agg(F.min("i").alias("low"), F.max("i").alias("high"))
     members = stored(members, "members")
+    dropped(windows)
     blocks = members.groupBy("shard", "part").agg(F.ceil(F.count("*") / block_texts).cast("int").alias("blocks"))
     blocks = stored(blocks.join(patterns, ["shard", "part"]), "blocks")
     own = F.when(F.col("shard") == F.col("tid"), F.col("at")).alias("at")  # patterns go with their own text
@@ -236,7 +241,9 @@ def located(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     dealt = parts.mapInArrow(_deal, DEALT_SCHEMA).repartition("shard", "part", "block").sortWithinPartitions("shard", "part", "block", "kind")
     found = dealt.mapInArrow(_locate, FOUND_SCHEMA)
     spans = found.select("tid", F.explode(F.arrays_zip(F.col("starts").alias("a"), F.col("ends").alias("b"))).alias("span"))
-    return scan, texts, chosen, stored(spans.groupBy("tid").agg(F.collect_list("span").alias("spans")), "spans")
+    spans = stored(spans.groupBy("tid").agg(F.collect_list("span").alias("spans")), "spans")
+    dropped(confirmed, members, blocks)
+    return scan, texts, chosen, spans
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,6 +257,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scan, texts, chosen, spans = located(docs, id_col, text_col)
     cut = chosen.select("tid", "text").join(spans, "tid").mapInArrow(_cut, CUT_SCHEMA)
     cut = stored(cut.join(texts.select("tid", "sha"), "tid").select(F.col("sha").alias("s"), "n_removed", "kept"), "cut")
+    dropped(texts, chosen, spans)
     made = scan.join(cut, F.col("sha") == F.col("s"), "left")
     return made.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.lower(F.hex(F.coalesce("kept", "sha"))).alias("kept_sha256"))
 

@@ -12,6 +12,7 @@ import numpy as np
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, WORD_BASE, OTHER_BASE = (int(x) * 8 + 5 for x in _rng.integers(1, 2**60, 3, dtype=np.uint64))
+PART, KEPT = 1 << 20, 1 << 22
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -27,7 +28,9 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             steps = np.full(size, b, np.uint64)
             steps[0] = 1
             out.append(np.cumprod(steps, dtype=np.uint64))
-        have = _powers[base] = (out[0], out[1])
+        have = (out[0], out[1])
+        if size <= KEPT:
+            _powers[base] = have
     return have[0][:n], have[1][:n]
 
 
@@ -42,12 +45,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range."""
-    n = len(data)
-    power, inverse = powers(_BASE, n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    """A 64-bit hash of each byte range; ranges are in order and apart.
+
+    A hash doesn't depend on the position, so a long buffer is hashed in parts of about ``PART`` bytes.
+    """
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + PART)))
+        begin, end = int(starts[i]), int(ends[j - 1])
+        power, inverse = powers(_BASE, end - begin + 1)
+        sums = np.zeros(end - begin + 1, np.uint64)
+        np.cumsum(_BYTE[data[begin:end]] * power[: end - begin], out=sums[1:])
+        a = starts[i:j] - begin
+        out[i:j] = mix((sums[ends[i:j] - begin] - sums[a]) * inverse[a])
+        i = j
+    return out
 
 
 class Words:

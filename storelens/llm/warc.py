@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import stored
+from storelens.llm.common import dropped, stored
 
 CHUNK_BYTES = 1 << 20
 MIN_DUPLICATE = 100
@@ -104,7 +104,9 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         if rows:
             yield _batch(rows)
 
-    return stored(typed.mapInArrow(cut, CHUNK_SCHEMA), "warc")
+    archive = stored(typed.mapInArrow(cut, CHUNK_SCHEMA), "warc")
+    dropped(seen, again)
+    return archive
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

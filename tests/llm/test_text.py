@@ -29,7 +29,7 @@ def buffer(texts):
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
 
 
-def test_words_and_hashes():
+def test_words_and_hashes(monkeypatch):
     texts = ["", "a b", " x\ty\n", "ab", "a b", "b", "é\x0bé", ""]
     w = Words(*buffer(texts))
     data, _ = buffer(texts)
@@ -38,6 +38,8 @@ def test_words_and_hashes():
     h = w.hashes()
     flat = [x for t in texts for x in words(t)]
     assert all((h[i] == h[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
+    monkeypatch.setattr("storelens.llm.textvec.PART", 3)
+    assert (Words(*buffer(texts)).hashes() == h).all()
     at, r = w.runs(2)
     pairs = [(flat[i], flat[i + 1]) for i in at]
     assert pairs == [("a", "b"), ("x", "y"), ("a", "b"), ("é", "é")]
