@@ -309,12 +309,20 @@ def leaked_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_regions, distance): items that leaked into documents, and the nearest region's edits."""
+    """(doc_id, item_id, n_regions, distance): items that leaked into documents, and the nearest region's edits.
+
+    Null and blank texts, null items and an empty benchmark or table give no rows; a text of any length
+    is searched whole; rows that repeat an id are counted together; null ids stay null; items that
+    repeat an id are one item; columns other than ids and texts aren't read.
+    """
     return leaked_regions(docs, benchmark).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_regions"), F.min("distance").alias("distance"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark passage is found, with their columns as they are."""
+    """The rows of ``docs`` in which no benchmark passage is found, with their columns as they are.
+
+    Null and blank texts stay; repeated rows are judged alike; with an empty benchmark all rows stay.
+    """
     out = docs
     column = docs.columns.index(text_col)
     for block in blocks(benchmark):
