@@ -1,7 +1,8 @@
 """Corpus pipeline: from raw documents to token-id files.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next stage's documents.
+again as the next stage's documents.  All stages take nulls in any column, empty and very long texts,
+repeated rows, empty tables and further columns of any name; what each does with them is said below.
 """
 
 from __future__ import annotations
@@ -14,27 +15,30 @@ from storelens.session import shipped
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects; null and empty texts are too short and go."""
     return quality.cascade(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the smallest id."""
+    """One document of each class of near duplicates, the one with the smallest id.
+
+    Documents without an id or without words are copies of nothing and stay.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage; null texts have none."""
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; a null source is a source, a text without words goes."""
     return mixing.mixed(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the token-id files hold, a row for each document of the mix."""
+    """What the token-id files hold, a row for each document of the mix; null ids come first."""
     return packing.packed(docs)
 
 
