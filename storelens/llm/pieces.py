@@ -18,7 +18,7 @@ import numpy as np
 
 from storelens.llm.textvec import hash_ranges
 
-CACHED_PIECES, CACHED_LENGTH = 1_500_000, 48
+CACHED_PIECES, CACHED_LENGTH = 2_500_000, 48
 SLOTS, SHIFT, PROBES = 1 << 22, np.uint64(42), 16
 JOINED = 100
 
@@ -75,10 +75,10 @@ class PieceTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.table = np.full(SLOTS + PROBES, -1, np.int64)  # open addressing: entry numbers
+        self.table = np.full(SLOTS + PROBES, -1, np.int32)  # open addressing: entry numbers
         self.keys = np.zeros(0, np.uint64)  # for each entry its hash, and where its bytes and ids are
-        self.at_bytes, self.n_bytes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.at_ids, self.n_ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at_bytes, self.n_bytes = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.at_ids, self.n_ids = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
@@ -114,8 +114,8 @@ class PieceTokenizer:
         self.keys = np.concatenate([self.keys, keys[kept]])
         for name, size, begin, pool, total in (("bytes", n_bytes, at_bytes, canon, len(self.bytes)), ("ids", n_ids, at_ids, ids, len(self.ids))):
             size, begin = size[kept], begin[kept]
-            setattr(self, f"at_{name}", np.concatenate([getattr(self, f"at_{name}"), total + np.cumsum(size) - size]))
-            setattr(self, f"n_{name}", np.concatenate([getattr(self, f"n_{name}"), size]))
+            setattr(self, f"at_{name}", np.concatenate([getattr(self, f"at_{name}"), (total + np.cumsum(size) - size).astype(np.int32)]))
+            setattr(self, f"n_{name}", np.concatenate([getattr(self, f"n_{name}"), size.astype(np.int32)]))
             setattr(self, name, np.concatenate([getattr(self, name), pool[spread(begin, size)]]))
 
     def _library(self, pieces: list[bytes]) -> list[list[int]]:
