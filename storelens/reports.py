@@ -23,7 +23,7 @@ class AmbiguousTarget(Exception):
     """An id prefix that fits several objects."""
 
 
-SHORT = {"blob": "blob", "tree": "tree", "commit": "commit", "tag": "tag"}
+SHORT = ("blob", "tree", "commit", "tag")
 
 
 def _types(store: Store) -> dict:

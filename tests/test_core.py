@@ -143,6 +143,26 @@ def test_many_masks(spark):
     tips = spark.createDataFrame([(k, f"t{k}") for k in range(64)], "bit int, node string")
     masks = {r.node: r.mask & (2**64 - 1) for r in graph.mask_closure(tips, edges).collect()}
     assert masks["t63"] == 1 << 63 and masks["n31"] == 3 << 62
+    refs = spark.createDataFrame([(f"refs/heads/{k:03}", f"t{k}", False) for k in range(65)], "name string, target string, is_head boolean")
+    sizes_ = spark.createDataFrame([(f"t{k}", 1) for k in range(64)] + [(f"n{k}", 10) for k in range(32)], "node string, size bigint")
+    got = history.unique_weights(refs, edges, sizes_).collect()  # more than a mask holds
+    assert [r.unique_bytes for r in got] == [1] * 64 + [0]
+    with pytest.raises(ValueError, match="64"):
+        history.unique_weights(refs, edges, sizes_, masks=True)
+    with pytest.raises(Exception, match="64 bits"):
+        graph.mask_closure(spark.createDataFrame([(64, "t0")], "bit int, node string"), edges).collect()
+
+
+def test_long_closure_and_paths(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(5, 5)], "src bigint, dst bigint")
+    assert graph.closure(spark.createDataFrame([(0,)], "node bigint"), links).count() == 13
+    entries = spark.createDataFrame([("r", "a", "t1", "tree"), ("r", "f", "b1", "blob"), ("t1", "x", "b2", "blob"), ("q", "a", "t1", "tree"), ("q", "f", "b3", "blob")], "parent string, name string, oid string, kind string")
+    roots = spark.createDataFrame([("r", "r"), ("q", "q"), ("z", "z")], "root string, parent string")
+    walked = lambda path: sorted(map(tuple, graph.walk_path(roots, entries, path).collect()))
+    assert walked("a/x") == [("q", "b2", "blob"), ("r", "b2", "blob")] and walked("f/x") == [] and walked("a/y") == []
+    versions = spark.createDataFrame([(1, "r"), (2, "q"), (3, "r"), (4, "z")], "commit bigint, tree string")
+    held = lambda path, oid: sorted(r.commit for r in graph.holders(versions, entries, path, oid).collect())
+    assert held("f", F.lit("b1")) == [1, 3] and held("a/x", F.lit("b2")) == [1, 2, 3]
 
 
 def test_chains_and_hierarchies(spark):

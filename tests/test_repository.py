@@ -96,6 +96,10 @@ def test_commits_and_graph_agree(spark, either):
     parsed = {bytes(r.oid): (bytes(r.tree), [bytes(p) for p in r.parents], r.committer_ts) for r in read_table(spark, str(repo), "commits").collect()}
     graph = {bytes(r.oid): (bytes(r.tree), [bytes(p) for p in r.parents], r.committer_ts) for r in read_table(spark, str(repo), "commit_graph").collect()}
     assert graph and all(parsed[k] == v for k, v in graph.items()) and len(parsed) == len(graph) + 1
+    beyond = [bytes(r.oid) for r in read_table(spark, str(repo), "commits", beyond="graph").collect()]
+    assert set(beyond) == parsed.keys() - graph.keys()
+    store = Store(spark, discover(str(repo)))
+    assert {bytes(r.oid): (bytes(r.tree), [bytes(p) for p in r.parents], r.ts) for r in store.commits.collect()} == parsed
 
 
 def test_paths_status_and_reachability(spark, repo):
