@@ -146,7 +146,7 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     hosts = distinct.select("host").distinct().select("host", F.posexplode(names_of(F.col("host"))).alias("k", "name"))
     names = stored(segmented_names(hosts.select("name").distinct(), stored(word_counts(pages, html_col), "words")), "names")
     placed = hosts.join(names, "name").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("k", "words"))).alias("w"))
-    words = placed.select("host", F.flatten(F.transform("w", lambda x: x["words"])).alias("host_words"))
+    words = stored(placed.select("host", F.flatten(F.transform("w", lambda x: x["words"])).alias("host_words")), "hosts")  # one host may have most pages
     path_tokens = F.regexp_extract_all(F.translate("path", _UPPER, _LOWER), F.lit("[a-z0-9]+"), 0)
     full = distinct.join(words, "host", "left").withColumn("host_words", F.coalesce("host_words", F.array().cast("array<string>")))
     full = stored(full.withColumn("tokens", F.concat("host_words", path_tokens)), "urls")
