@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from storelens.functions import constructs
-from storelens.functions.paths import is_lfs_candidate
 from storelens.functions.sizes import month_of
 from storelens.operators import history, scoring, storage
 from storelens.plans.relations import Store
