@@ -22,6 +22,7 @@ sent to the tasks, and all documents are streamed against it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -36,7 +37,7 @@ EDIT_SHARE = 0.06
 PASSAGE_WORDS = 25
 PART_WORDS = 12
 MIN_CHARS = 24
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 21
 CHUNK_CHARS = 1 << 20
 _BASE = 0x5851F42D4C957F2D
 _FILTER_BITS = 22
@@ -46,13 +47,31 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def passages_of(text: str | None) -> list[str]:
-    """Passages of an item; an item of fewer than ``MIN_CHARS`` characters has none: it's sought word for word."""
-    words = normal(text).split(" ")
-    out = []
+def spots_of(whole: str) -> list[list[tuple[int, int]]]:
+    """Where the passages of a normalised item lie, of either number of words, in ascending order.
+
+    Of passages with one text, the first counts.  An item of fewer than ``MIN_CHARS`` characters has
+    none: it's sought word for word.
+    """
+    words = whole.split(" ")
+    ends = list(accumulate((len(w) + 1 for w in words), initial=0))  # of a word and the space after it
+    out, seen = [], set()
     for n in (PASSAGE_WORDS, PART_WORDS):
-        out += [" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))]
-    return [p for p in dict.fromkeys(out) if len(p) >= MIN_CHARS or len(words) > PART_WORDS]
+        own = []
+        for k in range(max(1, len(words) - n + 1)):
+            begin, end = ends[k], ends[min(k + n, len(words))] - 1
+            text = whole[begin:end]
+            if text not in seen and (len(text) >= MIN_CHARS or len(words) > PART_WORDS):
+                seen.add(text)
+                own.append((begin, end))
+        out.append(own)
+    return out
+
+
+def passages_of(text: str | None) -> list[str]:
+    """Passages of an item."""
+    whole = normal(text)
+    return [whole[a:b] for own in spots_of(whole) for a, b in own]
 
 
 def word_edits(a: str, b: str) -> int:
@@ -127,43 +146,65 @@ def exact(passage: np.ndarray, region: np.ndarray) -> int:
 
 
 class Benchmark:
-    """Q-gram index of the passages of some items, small enough to send to every task."""
+    """Q-gram index of some items, small enough to send to every task.
+
+    A gram is held once for its place in the item, with the ranges of passages that cover it.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items, self.codes = [], []
+        self.items, texts, whole_of, begins, ends = [], [], [], [], []
+        covering = []  # for each gram of each item: first and last passage of either kind
         halves: dict[str, list[tuple[int, int, list[str], list[str]]]] = {}
         for key, text in items:
-            for p in passages_of(text):
-                self.items.append(key)
-                self.codes.append(codes(p))
             whole = normal(text)
+            x = codes(whole)
+            own = np.arange(max(0, len(x) - Q + 1))
+            ranges = []
+            for spots in spots_of(whole):
+                a, b = (np.array([s[e] for s in spots], np.int64) for e in (0, 1))
+                ranges += [len(self.items) + np.searchsorted(b, own + Q), len(self.items) + np.searchsorted(a, own, "right")]
+                self.items += [key] * len(spots)
+                whole_of += [len(texts)] * len(spots)
+                begins += a.tolist()
+                ends += b.tolist()
+            covering.append(np.array(ranges, np.int32).reshape(4, -1))
             words = whole.split(" ")
             if whole and len(words) <= 2 * PART_WORDS:
                 self.items.append(key)
-                self.codes.append(codes(""))
+                whole_of.append(len(texts))
+                begins.append(0)
+                ends.append(0)
                 cut = (len(words) + 1) // 2 if len(whole) >= MIN_CHARS and len(words) > 1 else len(words)
                 for first, here, other in ((1, words[:cut], words[cut:]), (0, words[cut:], words[:cut])):
                     if here:
                         halves.setdefault(f" {' '.join(here)} ", []).append((len(self.items) - 1, first, here, other))
+            texts.append(x)
         self.halves = ahocorasick.Automaton() if halves else None
         for pattern, uses in halves.items():
             self.halves.add_word(pattern, (len(pattern), uses))
         if halves:
             self.halves.make_automaton()
-        self.size = np.array([len(c) for c in self.codes], np.int64)
+        self.text, self.begin = np.concatenate([np.zeros(0, np.uint32), *texts]), np.array(begins, np.int64)
+        offset = np.cumsum([0, *map(len, texts)])
+        self.place = offset[np.array(whole_of, np.int64)] + self.begin  # of each passage in all texts
+        self.size = np.array(ends, np.int64) - self.begin
         self.k = np.array([max(0, budget(m)) for m in self.size], np.int64)
         self.bound = self.size + 1 - Q - self.k * Q
-        grams = [gram_hashes(c) if len(c) >= Q else np.zeros(0, np.uint64) for c in self.codes]
+        grams = [gram_hashes(x) if len(x) >= Q else np.zeros(0, np.uint64) for x in texts]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
         self.grams, first = np.unique(flat[order], return_index=True)
         self.first = np.append(first, len(flat))
-        self.owner, self.at = owner[order], at[order]
+        self.at = at[order].astype(np.int32)
+        self.covering = (np.concatenate(covering, 1) if covering else np.zeros((4, 0), np.int32))[:, order]
         self.seen = np.zeros(1 << _FILTER_BITS, bool)
         self.seen[(self.grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
+    def code(self, p: int) -> np.ndarray:
+        """Code points of a passage."""
+        return self.text[self.place[p] : self.place[p] + self.size[p]]
+
     def bands(self, x: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, passage, band) of the bands that meet the bound; texts lie end to end in x."""
         none = np.zeros(0, np.int64)
@@ -180,7 +221,15 @@ class Benchmark:
         many = self.first[found + 1] - self.first[found]
         src = np.repeat(np.arange(len(pos)), many)
         posting = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + self.first[found][src]
-        owner, diagonal = self.owner[posting], pos[src] - self.at[posting]
+        owners, sources, postings = [], [], []
+        for low, high in (self.covering[:2, posting], self.covering[2:, posting]):  # to the passages that cover the gram
+            many = np.maximum(high - low, 0)
+            which = np.repeat(np.arange(len(posting)), many)
+            owners.append(np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + low[which])
+            sources.append(src[which])
+            postings.append(posting[which])
+        owner, src, posting = np.concatenate(owners), np.concatenate(sources), np.concatenate(postings)
+        diagonal = pos[src] - (self.at[posting] - self.begin[owner])
         step = self.k[owner] + 1
         shift = int(self.size.max())
         high = (diagonal + shift) // step + 1  # bands high and high - 1 hold the diagonal; shifted to be positive
@@ -237,8 +286,8 @@ class Benchmark:
             if width < 1:
                 continue
             region = x[begin : min(stop, begin + m + width)]
-            a = exact(self.codes[p], region)
-            distance, a, b = (0, a, a + m) if a >= 0 else align(self.codes[p], region, width)
+            a = exact(self.code(p), region)
+            distance, a, b = (0, a, a + m) if a >= 0 else align(self.code(p), region, width)
             if distance > k:
                 continue
             found.add(t)
