@@ -30,13 +30,21 @@ def parse_size_text(text: str) -> int | None:
     return int(float(found[1]) * 1024 ** UNITS[found[2].upper()])
 
 
+def _rounded(whole: Column, bits: int, digits: int) -> Column:
+    """``whole / 2**bits`` (1 or more) with ``digits`` decimals, halves to even; in integers, as Java's format rounds halves up."""
+    scaled = whole * F.lit(10**digits).cast("bigint")
+    floor, rest, half = F.shiftright(scaled, bits), scaled.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")), F.lit(1 << (bits - 1))
+    figures = (floor + F.when((rest > half) | (rest == half) & (floor % 2 == 1), 1).otherwise(0)).cast("string")
+    return figures if not digits else F.concat_ws(".", F.left(figures, F.length(figures) - digits), F.right(figures, F.lit(digits)))
+
+
 def format_size(size: Column) -> Column:
-    """Three significant figures and a base-2 unit; whole bytes below 1024."""
+    """Three significant figures and a base-2 unit, halves to even; whole bytes below 1024."""
     out = F.concat(size.cast("string"), F.lit(" B"))
+    whole = size.cast("double").cast("bigint")  # the nearest double, as in format_size_text
     for power, name in enumerate(NAMES[1:], 1):
-        value = size / F.lit(float(1024**power))
-        text = F.when(value >= 100, F.format_string(f"%.0f {name}", value)).when(value >= 10, F.format_string(f"%.1f {name}", value)).otherwise(F.format_string(f"%.2f {name}", value))
-        out = F.when(size >= 1024**power, text).otherwise(out)
+        figures = F.when(whole >= 100 * 1024**power, _rounded(whole, 10 * power, 0)).when(whole >= 10 * 1024**power, _rounded(whole, 10 * power, 1)).otherwise(_rounded(whole, 10 * power, 2))
+        out = F.when(whole >= 1024**power, F.concat(figures, F.lit(f" {name}"))).otherwise(out)
     return out
 
 

@@ -27,6 +27,16 @@ def test_sizes(spark):
     assert [sizes.format_size_text(n) for n in numbers] == text
 
 
+def test_sizes_round_halves_to_even(spark):
+    numbers = [115200, 543232, 106 * 1024 + 512, 1152, 1408, 10496, 10 * 1024 + 768, 2176 << 40, 1024**2 - 1, -5, None]
+    text = ["112 KB", "530 KB", "106 KB", "1.12 KB", "1.38 KB", "10.2 KB", "10.8 KB", "2.12 PB", "1024 KB", "-5 B", None]
+    assert column(spark, numbers, sizes.format_size, "bigint") == text
+    r = random.Random(8)
+    more = [n for n in numbers if n is not None] + [r.randrange(1 << r.randrange(1, 64)) for _ in range(2000)] + [r.randrange(8, 8192) << 10 * k - 3 for k in range(1, 6) for _ in range(200)]
+    more += [round(v * 1024**5 / 1000) for v in range(1005, 1100, 10)] + [(1 << 63) - 1, 100 * 1024**5 - 1, 10 * 1024**5 - 1]
+    assert column(spark, more, sizes.format_size, "bigint") == [sizes.format_size_text(n) for n in more]
+
+
 def test_dates_and_ids(spark):
     assert column(spark, [0, -5, 1577836800, 1580515199], sizes.month_of, "bigint") == ["1970-01", "1970-01", "2020-01", "2020-01"]
     assert column(spark, [1583020800], sizes.date_of, "bigint") == ["2020-03-01"]
