@@ -21,6 +21,7 @@ from storelens.llm.textvec import hash_ranges
 CACHED_PIECES, CACHED_LENGTH = 2_500_000, 48
 SLOTS, SHIFT, PROBES = 1 << 22, np.uint64(42), 16
 JOINED = 100
+PART = 1 << 15  # pieces that are put together at a time
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
@@ -76,15 +77,27 @@ class PieceTokenizer:
 
     def _forget(self) -> None:
         self.table = np.full(SLOTS + PROBES, -1, np.int32)  # open addressing: entry numbers
-        self.keys = np.zeros(0, np.uint64)  # for each entry its hash, and where its bytes and ids are
-        self.at_bytes, self.n_bytes = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.at_ids, self.n_ids = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        self.entries = 0
+        # for each entry its hash, and where its bytes and ids begin; they end where the next one's begin.  Memory
+        # that isn't written takes none, so there is room for many entries from the start
+        self.keys = np.empty(CACHED_PIECES, np.uint64)
+        self.at_bytes, self.at_ids = np.zeros(CACHED_PIECES + 1, np.uint32), np.zeros(CACHED_PIECES + 1, np.uint32)
+        self.bytes = np.empty(16 * CACHED_PIECES, np.uint8)
+        self.ids = np.empty(8 * CACHED_PIECES, np.uint16 if len(self.width) <= 1 << 16 else np.uint32)
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Write ``values`` at ``at`` of an array, which is made longer if need be."""
+        room = getattr(self, name)
+        if at + len(values) > len(room):
+            longer = np.empty(max(at + len(values), len(room) + len(room) // 4), room.dtype)
+            longer[:at] = room[:at]
+            setattr(self, name, room := longer)
+        room[at : at + len(values)] = values
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Entry number of each key, -1 for an unknown one."""
         out = np.full(len(keys), -1, np.int64)
-        if not len(self.keys):
+        if not self.entries:
             return out
         left, slot = np.arange(len(keys)), (keys >> SHIFT).astype(np.int64)
         for _ in range(PROBES):
@@ -98,8 +111,8 @@ class PieceTokenizer:
                 break
         return out
 
-    def _remember(self, keys: np.ndarray, data: list[np.ndarray]) -> None:
-        """Add entries with new, distinct keys; one that finds no slot is left out."""
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """A free slot of each of the new, distinct keys, which is marked; -1 where there is none near."""
         left, slot = np.arange(len(keys)), (keys >> SHIFT).astype(np.int64)
         placed = np.full(len(keys), -1, np.int64)
         for _ in range(PROBES):
@@ -108,15 +121,7 @@ class PieceTokenizer:
             won = self.table[slot] == -2 - left
             placed[left[won]] = slot[won]
             left, slot = left[~won], slot[~won] + 1
-        kept = np.flatnonzero(placed >= 0)
-        self.table[placed[kept]] = len(self.keys) + np.arange(len(kept))
-        at_bytes, n_bytes, at_ids, n_ids, canon, ids = data
-        self.keys = np.concatenate([self.keys, keys[kept]])
-        for name, size, begin, pool, total in (("bytes", n_bytes, at_bytes, canon, len(self.bytes)), ("ids", n_ids, at_ids, ids, len(self.ids))):
-            size, begin = size[kept], begin[kept]
-            setattr(self, f"at_{name}", np.concatenate([getattr(self, f"at_{name}"), (total + np.cumsum(size) - size).astype(np.int32)]))
-            setattr(self, f"n_{name}", np.concatenate([getattr(self, f"n_{name}"), size.astype(np.int32)]))
-            setattr(self, name, np.concatenate([getattr(self, name), pool[spread(begin, size)]]))
+        return placed
 
     def _library(self, pieces: list[bytes]) -> list[list[int]]:
         texts = [p.decode("utf-8", "replace") for p in pieces]
@@ -158,36 +163,50 @@ class PieceTokenizer:
         which = self._find(hashes)
         unknown = np.flatnonzero(which < 0)
         keys, example, number = np.unique(hashes[unknown], return_index=True, return_inverse=True)
-        which[unknown] = len(self.keys) + number
 
-        # entries: known ones, then new ones
+        # new entries: first those that stay, then the others, which go when the texts are encoded
+        size = length[unknown[example]]
+        short = np.flatnonzero(size <= CACHED_LENGTH)
+        full = self.entries + len(short) > CACHED_PIECES
+        slot = np.full(len(keys), -1, np.int64)
+        if not full:
+            slot[short] = self._slots(keys[short])
+        order = np.argsort(slot < 0, kind="stable")
+        stay = np.count_nonzero(slot >= 0)
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = self.entries + np.arange(len(keys))
+        which[unknown] = rank[number]
+        self.table[slot[order[:stay]]] = rank[order[:stay]]
+
         raw = data.tobytes()
-        begin, size = starts[unknown[example]], length[unknown[example]]
+        begin, size = starts[unknown[example[order]]], size[order]
         made, many = self._new([raw[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)], size)
-        at_bytes = np.concatenate([self.at_bytes, len(self.bytes) + np.cumsum(size) - size])
-        at_ids = np.concatenate([self.at_ids, len(self.ids) + np.cumsum(many) - many])
-        n_bytes, n_ids = np.concatenate([self.n_bytes, size]), np.concatenate([self.n_ids, many])
-        ids, canon = np.concatenate([self.ids, made]), np.concatenate([self.bytes, data[spread(begin, size)]])
+        for name, values, n in (("bytes", data[spread(begin, size)], size), ("ids", made, many)):
+            at = int(getattr(self, f"at_{name}")[self.entries])
+            self._put(name, at, values)
+            self._put(f"at_{name}", self.entries + 1, at + np.cumsum(n))
+        self._put("keys", self.entries, keys[order])
 
         # pieces lie end to end, so do the bytes of their entries
-        count = n_ids[which]
-        wrong = np.flatnonzero(n_bytes[which] != length)
-        if not len(wrong):
-            differs = np.flatnonzero(canon[spread(at_bytes[which], length)] != data)
-            wrong = np.unique(np.searchsorted(starts, differs, "right") - 1)
-        if len(wrong):  # two pieces with one hash in this buffer or the memory: the library encodes the texts anew
+        count, same, out = np.empty(len(starts), np.int64), True, []
+        for i in range(0, len(starts), PART):
+            entry, size = which[i : i + PART], length[i : i + PART]
+            first, n = self.at_ids[entry].astype(np.int64), self.at_ids[entry + 1].astype(np.int64)
+            n -= first
+            first_byte = self.at_bytes[entry].astype(np.int64)
+            same = (self.at_bytes[entry + 1] - first_byte == size).all() and (self.bytes[spread(first_byte, size)] == data[starts[i] : starts[i] + size.sum()]).all()
+            if not same:
+                break
+            count[i : i + PART] = n
+            out.append(self.ids[spread(first, n)].astype(np.uint32))
+        if not same:  # two pieces with one hash in this buffer or the memory: the library encodes the texts anew
             whole = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             made = self._library(whole)
             self._forget()
             return np.fromiter((i for x in made for i in x), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
-        out = ids[spread(at_ids[which], count)]
         sums = np.concatenate([[0], np.cumsum(count)])
         per_text = np.diff(sums[np.searchsorted(starts, offsets)])
-
-        short = np.flatnonzero(size <= CACHED_LENGTH)
-        if len(self.keys) + len(short) > CACHED_PIECES:
+        self.entries += stay
+        if full or len(self.bytes) > 32 * CACHED_PIECES:
             self._forget()
-        else:
-            new = len(self.keys) + short
-            self._remember(keys[short], [at_bytes[new], n_bytes[new], at_ids[new], n_ids[new], canon, ids])
-        return out, per_text
+        return np.concatenate(out), per_text

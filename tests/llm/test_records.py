@@ -156,6 +156,22 @@ def test_piece_tokenizer_equals_the_library(monkeypatch):
     assert none[0].tolist() == [] and none[1].tolist() == [0, 0]
 
 
+def test_piece_tokenizer_keeps_its_memory_in_place():
+    import tracemalloc
+
+    mine = pieces.PieceTokenizer(packing.tokenizer_path())
+    data, offsets = text_buffer(pa.array([f" {k:x}" for k in range(60000)]))
+    first = mine.encode(data, offsets)
+    again, small = text_buffer(pa.array([" 1 2f", None, " zzyzx 2f"]))
+    tracemalloc.start()
+    ids, counts = mine.encode(again, small)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500_000  # no copy of what it remembers, some megabytes
+    assert ids.tolist() == [i for e in reference_tokenizer().encode_batch([" 1 2f", "", " zzyzx 2f"], add_special_tokens=False) for i in e.ids] and counts[1] == 0
+    assert all(np.array_equal(a, b) for a, b in zip(mine.encode(data, offsets), first, strict=True))
+
+
 def test_token_files(spark, make_docs, mixed_rows):
     ref = reference_tokenizer()
     docs = make_docs(mixed_rows)
