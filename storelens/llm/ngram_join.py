@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from storelens.llm.common import WORD_CLASS, dropped, grouped, slices, stored, text_buffer
 from storelens.llm.components import components, stars
+from storelens.llm.rowfilter import RowFilter
 from storelens.llm.textvec import Words, mix
 
 SHINGLE = 5
@@ -251,9 +252,10 @@ def _classed(known: DataFrame, sketch: DataFrame, block_docs: int, block_bytes:
 
     # units: pairs of blocks of a group; an entry is compared by the text of its first row
     members = groups.join(entries, "set_key").select("set_key", "gid", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
-    members = stored(members, "members")
+    members = stored(members, "members", counted=True)
     dropped(tied)
-    texts = known.join(members, ["doc_id", "text_key"]).groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("gid", "copies", "text")))
+    near = known.where(RowFilter(members, ["doc_id", "text_key"], members.n_rows).may_hold(F.col("doc_id"), F.col("text_key")))  # few texts are shuffled
+    texts = near.join(members, ["doc_id", "text_key"]).groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("gid", "copies", "text")))
     texts = stored(texts, "texts")
     dropped(members)
     sizes = texts.groupBy("gid").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum(F.octet_length("text")) / block_bytes)).cast("int").alias("blocks"))
@@ -305,14 +307,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known, sketch = _sketched(docs, id_col, text_col)
     classed = _classed(known, sketch, block_docs, block_bytes)
     first = classed.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__first_id"), F.col("first.text_key").alias("__first_key"))
+    # rows that go, or are there more than once; the texts of all others stay where they are
+    rows = sketch.where("set_key IS NOT NULL").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    doubtful = rows.join(first, (F.col("doc_id") == F.col("__first_id")) & (F.col("text_key") == F.col("__first_key")), "left").where("n > 1 OR __first_id IS NULL")
+    doubtful = stored(doubtful.select("doc_id", "text_key"), "doubtful", counted=True)
+    doubt = RowFilter(doubtful, ["doc_id", "text_key"], doubtful.n_rows)
+    dropped(doubtful)
     key = "__key"
     while key in docs.columns:
         key += "_"
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     alone = ident.isNull() | text.isNull() | ~text.rlike(WORD_CLASS)
     keyed = docs.where(~alone).withColumn(key, F.unhex(F.md5(F.encode(text, "UTF-8"))))
-    kept = keyed.join(first, (ident.cast("bigint") == F.col("__first_id")) & (F.col(key) == F.col("__first_key")), "left_semi")
-    return kept.dropDuplicates([id_col, key]).drop(key).union(docs.where(alone))
+    doubted = doubt.may_hold(ident.cast("bigint"), F.col(key))
+    kept = keyed.where(doubted).join(first, (ident.cast("bigint") == F.col("__first_id")) & (F.col(key) == F.col("__first_key")), "left_semi")
+    return kept.dropDuplicates([id_col, key]).union(keyed.where(~doubted)).drop(key).union(docs.where(alone))
 
 
 SQL = r"""

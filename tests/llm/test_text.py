@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from storelens.llm import decontam, mixing, ngram_join, passages, quality, secrets
+from storelens.llm import decontam, mixing, ngram_join, passages, quality, rowfilter, secrets
 from storelens.llm.components import components, stars
 from storelens.llm.textvec import Words
 
@@ -123,6 +124,37 @@ def test_jaccard_classes(make_docs, versions, block):
     assert len(got) == len(versions)
 
 
+def test_jaccard_stage_shuffles_few_texts(spark):
+    r = random.Random(5)
+    text = lambda: " ".join(f"{r.getrandbits(64):x}" for _ in range(1200))
+    rows = [(i, text()) for i in range(300)]
+    rows += [(1000, rows[3][1]), (1001, rows[4][1] + " more"), (5, rows[5][1]), (None, rows[6][1]), (1002, " "), (1003, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).persist()
+    whole = docs.selectExpr("sum(octet_length(text))").first()[0]
+    written = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        begun = written()
+        kept = ngram_join.one_of_each(docs).collect()
+        assert written() - begun < whole / 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        docs.unpersist()
+    assert sorted(kept, key=str) == sorted([x for x in rows[:300] + rows[303:]], key=str)
+
+
+def test_row_filter_loses_no_row(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id", "unhex(md5(CAST(id AS STRING))) AS key")
+    held = rows.where("id % 3 = 0")
+    for most in (1 << 28, 1 << 10):
+        monkeypatch.setattr(rowfilter, "MOST_BITS", most)
+        passed = [x.id for x in rows.where(rowfilter.RowFilter(held, ["id", "key"], 1000).may_hold(F.col("id"), F.col("key"))).collect()]
+        assert {*range(0, 3000, 3)} <= {*passed} and (most == 1 << 10 or len(passed) < 1100)
+    none = rowfilter.RowFilter(rows.limit(0), ["id", "key"], 0).may_hold(F.col("id"), F.col("key"))
+    assert rows.where(none).count() == 0
+
+
 def test_jaccard_stage_keeps_one_of_each(make_docs, versions):
     docs = make_docs(versions)
     kept = ngram_join.one_of_each(docs)
